@@ -32,7 +32,7 @@ def frozen(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """As `frozen`, but as a Parquet table beside the checkpoints, so that readers can prune columns."""
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)  # small row groups: a task buffers one
     return df.sparkSession.read.parquet(path)
 
 

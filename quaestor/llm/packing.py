@@ -10,12 +10,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import frozen, stored, strings, text_slices
+from .common import frozen, stored, strings
 from .tokens import ByteBPE
 
 SEQUENCE = 2048
 #: Buckets of a document's hashed vector, dimensions it is projected to, and bits of each on the curve.
 BUCKETS, DIMENSIONS, BITS = 1024, 3, 16
+#: Documents that a task holds at once as Python objects.
+ROWS = 256
 
 
 def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
@@ -47,9 +49,9 @@ def _tokenise(path: str, end_id: int):
         axes = np.random.default_rng(7).standard_normal((BUCKETS, DIMENSIONS))
         end = np.array([end_id], dtype=bpe.dtype)
         for batch in batches:
-            texts = strings(batch.column(1))
-            for a, b in text_slices(texts, 4 << 20):
-                ids = [np.concatenate((bpe.ids(t), end)) for t in texts[a:b]]
+            for a in range(0, len(batch), ROWS):
+                b = min(a + ROWS, len(batch))
+                ids = [np.concatenate((bpe.ids(t), end)) for t in strings(batch.column(1).slice(a, b - a))]
                 # A vector of root counts in hashed buckets, of unit length.
                 counts = np.sqrt([np.bincount(x.astype(np.uint32) * np.uint32(2654435761) >> np.uint32(22), minlength=BUCKETS) for x in ids])
                 points = (counts / np.linalg.norm(counts, axis=1, keepdims=True)) @ axes
@@ -86,8 +88,8 @@ def _cut(sequence: int, dtype: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, len(batch), 512):
-                some = batch.slice(a, 512)
+            for a in range(0, len(batch), ROWS):
+                some = batch.slice(a, ROWS)
                 n, place = some.column("n").to_numpy(), some.column("place").to_numpy()
                 first = place // sequence
                 pieces = (place + n - 1) // sequence - first + 1

@@ -11,7 +11,7 @@ import tiktoken
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces whose ids a worker remembers, and the longest such piece.
-REMEMBERED, LONGEST = 400_000, 40
+REMEMBERED, LONGEST = 150_000, 40
 _ODD = re.compile(r"[^\S \n]|\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
