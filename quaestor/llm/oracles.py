@@ -24,4 +24,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM docs LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_decontaminate": OP6}
+OP1 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, n, CASE n WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) AS r(n)
+), escaped AS (
+  SELECT *, regexp_replace(CASE WHEN role IN ('system', 'user', 'assistant') THEN text ELSE length(role) || ':' || role || text END,
+                           '([\[<])(\\*)(<SYS>>|</SYS>>|INST\]|/INST\]|ANS\]|ROLE\]|/ROLE\]|s>|/s>)', '\1\2\\\3', 'g') AS body FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, body)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, body) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(3 + sum(length(body) + CASE role WHEN 'system' THEN 17 WHEN 'user' THEN 15 WHEN 'assistant' THEN 11 ELSE 15 END) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1, "op6_decontaminate": OP6}
