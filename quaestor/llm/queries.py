@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, packing, pii, sharding, simhash
+from . import chat, decontam, langid, packing, pii, quality, sharding, simhash
 from .common import crc_mod, table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -46,6 +46,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *quality.STATISTICS, "base_failed", "kept", "d2", "outlier")
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find(docs, pii.fit(docs))
@@ -58,4 +63,4 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_sharding, op5_simhash_dedup, op6_decontaminate, op9_personal_data, op10_curve_packing)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_sharding, op5_simhash_dedup, op6_decontaminate, op8_quality_rules, op9_personal_data, op10_curve_packing)}
