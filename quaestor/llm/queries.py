@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, packing, pii, quality, sharding, simhash
+from . import chat, crf, decontam, langid, packing, pii, quality, rules, sharding, simhash
 from .common import crc_mod, table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -34,6 +34,17 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _learn() -> Column:
+    return F.coalesce(crc_mod("doc_id", 3) != 1, F.lit(True))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where("doc_id is not null and toxic is not null").where(_learn()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    found = crf.score_toxicity(docs, crf.fit(docs.join(labels, "doc_id")))
+    return found.select("doc_id", (~_learn()).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
@@ -46,6 +57,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = rules.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _learn())
+    return scored.select("doc_id", (~_learn()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *quality.STATISTICS, "base_failed", "kept", "d2", "outlier")
@@ -63,4 +79,4 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_sharding, op5_simhash_dedup, op6_decontaminate, op8_quality_rules, op9_personal_data, op10_curve_packing)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_sharding, op4_toxicity, op5_simhash_dedup, op6_decontaminate, op7_quality_classifier, op8_quality_rules, op9_personal_data, op10_curve_packing)}
