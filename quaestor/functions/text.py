@@ -89,9 +89,9 @@ def method_key(standard: Column, raw: Column) -> Column:
 
 
 def method_status(species: Column, method: Column) -> Column:
-    """unacceptable, conditional or acceptable, in this order of precedence; unlisted methods are unacceptable, unknown
-    species `unknown`, and without a method there is no status."""
-    out = F.when(text(method) == "", F.lit(None).cast("string"))
+    """unacceptable, conditional or acceptable, in this order of precedence; unlisted methods are unacceptable, species
+    that the matrix lacks `unknown`, and without a method or a species there is no status."""
+    out = F.when((text(method) == "") | species.isNull(), F.lit(None).cast("string"))
     for key, (good, conditional, bad) in SPECIES_METHODS.items():
         known = F.when(method.isin(*bad), "unacceptable").when(method.isin(*conditional), "conditional").when(method.isin(*good), "acceptable").otherwise("unacceptable")
         out = out.when(species == key, known)

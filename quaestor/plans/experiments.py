@@ -38,7 +38,7 @@ def experiments(protocols: DataFrame) -> DataFrame:
             "anes_text": F.lower(joined(F.when(F.coalesce(F.size(drugs), F.lit(0)) > 0, drugs).otherwise(older))),
             "fate": F.lower(text(e["fate"])),
             "eu_params": F.lower(F.array_join(F.array_distinct(F.filter(F.array(text(eu["conditions_text"]), text(eu["parameters"])), lambda x: x != "")), " ")),
-            "eu_confirm": F.lower(F.concat(text(eu["confirmation"]), F.lit(" "), text(eu["confirmation_details"]))),
+            "eu_confirm": F.lower(text(eu["confirmation"])),
             "restraint_text": F.lower(flattened(*[e["restraint"][k] for k in ("method", "acclimation", "monitoring", "humane_removal_criteria", "food_water_plan", "justification")])),
             "permits_text": F.lower(flattened(*[e["field_study_permits"][k] for k in ("collection_permit_ids", "cites_documentation", "biosafety_approval_id", "field_euthanasia_method", "field_euthanasia_details")])),
             "species_key": species_key(e["animals"]["species_standard"], e["animals"]["species"]),
@@ -137,7 +137,7 @@ def experiment_rules() -> list[Rule]:
         Rule("euthanasia:overdose-confirm", (2, 1, 2), inhalant, confirmed, "W/E", "Inhalant overdose without a confirmation step", True),
         Rule("special:neonatal-CO2", (2, 2, 1), co2 & neonate, has(F.concat_ws(" ", eu_all, "timeline"), "neonatal_secondary"), "W/E", "CO2 is the sole method for neonates"),
         Rule("euthanasia:species-method", (2, 3, 1), c("status") == "unacceptable", ~yes, "E", F.concat(F.lit("Method not acceptable for "), c("species_key"))),
-        Rule("euthanasia:precharged-chamber", (2, 3, 2), co2, ~(has(eu_all, "precharged") | (c("timeline").contains("chamber") & has("timeline", "precharged"))), "E", "Pre-charged CO2 chamber"),
+        Rule("euthanasia:precharged-chamber", (2, 3, 2), co2, ~(has(F.concat_ws(" ", eu_all, F.lower(e["euthanasia"]["primary"]), F.lower(e["euthanasia"]["method_standard"])), "precharged") | (c("timeline").contains("chamber") & has("timeline", "precharged"))), "E", "Pre-charged CO2 chamber"),
         Rule(
             "euthanasia:displacement-rate", (2, 3, 3), co2 & per_species(c("species_key"), {s: r[0] for s, r in CO2_RATES.items()}).isNotNull(),
             percent_below(c("eu_params"), 100) | contains_any(c("eu_params"), ("displacement", "vol/min")), "W/E", "CO2 displacement rate is not given",
