@@ -158,5 +158,5 @@ def judge(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, source, STATISTICS, base_failed, d2, outlier, kept) for each document. Null languages and sources are
     groups of their own; a column that is missing counts as null; repeated rows count each. No rows give no rows."""
     columns = [F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source", "text")]
-    rows = with_statistics(docs.select("doc_id", *columns)).withColumn("base_failed", base_failed())
+    rows = with_statistics(docs.select("doc_id", *columns)).drop("text").withColumn("base_failed", base_failed())
     return outliers(frozen(rows)).withColumn("kept", ~F.col("base_failed") & ~F.col("outlier"))
