@@ -29,8 +29,9 @@ def document_frequencies(counts: DataFrame) -> DataFrame:
 
 
 def top_k(scored: DataFrame, query: str, key: str, k: int) -> DataFrame:
-    """The k best rows of each query; of equal scores, the higher key wins. Spark cuts each partition to k rows before it
-    shuffles them."""
+    """The k best rows of each query; of equal scores, the higher key wins. Scores are compared to nine places, so that the
+    order in which a sum was made doesn't matter. Spark cuts each partition to k rows before it shuffles them."""
+    scored = scored.withColumn("score", F.round("score", 9))
     order = Window.partitionBy(query).orderBy(F.desc("score"), F.desc(key))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

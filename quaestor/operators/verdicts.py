@@ -1,13 +1,14 @@
 """Graded verdicts: recovery of JSON, normalisation, two passes, questions and a holistic verdict."""
 
-from __future__ import annotations
-
 import json
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 # Labels by score, and further words that stand for a score.
 LABELS = ("not_addressed", "inadequate", "partially_adequate", "adequate")
 SCORE_WORDS: dict[str, int] = {
@@ -51,7 +52,7 @@ def unfenced(answer: Column) -> Column:
     """A model's answer without thinking tags; of fenced blocks, the last one's text."""
     plain = F.regexp_replace(F.coalesce(answer, F.lit("")), r"(?s)<think>.*?</think>", "")
     fenced = F.regexp_extract_all(plain, F.lit(r"(?s)```(?:json)?\s*(.*?)```"), F.lit(1))
-    return F.trim(F.when(F.size(fenced) > 0, F.element_at(fenced, -1)).otherwise(plain))
+    return strip(F.when(F.size(fenced) > 0, F.element_at(fenced, -1)).otherwise(plain))
 
 
 def _first_object(text: str) -> str | None:
@@ -75,11 +76,9 @@ def _first_object(text: str) -> str | None:
 def recovered(answer: Column) -> Column:
     """The JSON object in a model's answer as text, or null. Answers that parse stay in the JVM; the others are searched by
     an Arrow function."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def search(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else _first_object(t))
+    @F.arrow_udf("string")
+    def search(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else _first_object(t) for t in texts.to_pylist()], pa.string())
 
     text = unfenced(answer)
     whole = F.try_parse_json(text).isNotNull() & text.startswith("{")
