@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def read_events(spark: SparkSession, path: str, schema, files_at_once: int = 1) -> DataFrame:
-    """A stream over a folder of Parquet files."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
+    """A stream over a folder of Parquet files. Times without a zone are read in the session's, as watermarks need one."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
+    return rows.select(*[F.col(c).cast("timestamp").alias(c) if kind == "timestamp_ntz" else F.col(c) for c, kind in rows.dtypes])
 
 
 def stream_sessions(events: DataFrame, user: str, ts: str, gap: str = "1 hour", late: str = "2 hours") -> DataFrame:
