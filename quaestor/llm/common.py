@@ -41,12 +41,13 @@ def crc_mod(key: str, modulus: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(modulus)
 
 
-def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
-    """About `bound` rows of `df` at most, chosen by a hash of `key`; all rows if there are no more than that."""
-    n = df.count()
+def bounded_sample(df: DataFrame, key: str, bound: int, salt: str = "sample", n: int | None = None) -> DataFrame:
+    """About `bound` rows of `df` at most, chosen by a hash of `key` and salt; all rows if there are no more than that. `n`
+    is the number of rows, if it is known."""
+    n = df.count() if n is None else n
     if n <= bound:
         return df
-    return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1_000_000)) < int(1_000_000 * bound / n))
+    return df.where(F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1_000_000)) < int(1_000_000 * bound / n))
 
 
 def text_slices(texts: list, most: int) -> Iterator[tuple[int, int]]:

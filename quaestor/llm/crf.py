@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import Words, buffers, word_hashes, words_of
-from .common import bounded_sample
+from .common import bounded_sample, stored
 
 #: Labelled rows that words are counted on, and rows of each label that the field is fitted on, at most about.
-LEXICON_ROWS, FIELD_ROWS = 20_000, 1_000
+LEXICON_ROWS, FIELD_ROWS = 20_000, 500
 #: Bytes of the word starts that are features beside the whole word (0).
 STARTS = (0, 4, 5, 6, 7, 8)
 #: Words and starts with weights of their own; toxic rows that one needs; share of toxic rows from which it marks a token.
@@ -43,9 +43,9 @@ class ToxicityModel:
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """1 and up for the known words, 0 for others."""
         if not len(self.words):
-            return np.zeros(len(hashes), dtype=np.int64)
-        k = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[k] == hashes, k + 1, 0)
+            return np.zeros(len(hashes), dtype=np.int32)
+        k = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1).astype(np.int32)
+        return np.where(self.words[k] == hashes, k + np.int32(1), np.int32(0))
 
     def potentials(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The toxic state's log potential of each word, against the clean one's 0; ids[f, i] is feature f of word i."""
@@ -199,11 +199,11 @@ def fit(labelled: DataFrame, lexicon_rows: int = LEXICON_ROWS, field_rows: int =
     `field_rows` of each label; rows are chosen by a hash of doc_id. With one label only, the score is its smoothed share.
     """
     rows = labelled.where("label is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("long").alias("label"))
-    some = bounded_sample(rows, "doc_id", lexicon_rows)
     totals = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     if set(totals) != {0, 1}:
         share = np.log((totals.get(1, 0) + 1) / (totals.get(0, 0) + 1))
         return ToxicityModel(document=np.array([share, 0.0, 0.0, 0.0]))
+    some = stored(bounded_sample(rows, "doc_id", lexicon_rows, n=sum(totals.values())))  # read three times below
     counts = some.mapInArrow(_count_words, "word long, toxic long, n long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     base = totals[1] / (totals[0] + totals[1])
     purity = (F.col("toxic") + base) / (F.col("n") + 1)
@@ -217,7 +217,7 @@ def fit(labelled: DataFrame, lexicon_rows: int = LEXICON_ROWS, field_rows: int =
     model.emissions = np.zeros((3, len(hashes) + 1))
     text, labels = [], []
     for label in (0, 1):
-        own = bounded_sample(some.where(F.col("label") == label), "doc_id", field_rows).collect()  # bounded
+        own = bounded_sample(some.where(F.col("label") == label), "doc_id", field_rows, "field").select("text").collect()  # bounded
         text += [r.text for r in own]
         labels += [label] * len(own)
     labels = np.array(labels)
