@@ -35,7 +35,11 @@ def filled(value: Column) -> Column:
 
 
 def contains_any(value: Column, terms: Iterable[str]) -> Column:
-    """Whether the text holds one of the terms. A chain of `contains` stays in generated code."""
+    """Whether the text holds one of the terms: a few by a chain of `contains`, more by one alternation of literals, which
+    makes a far smaller plan. Both stay in generated code."""
+    terms = list(terms)
+    if len(terms) > 3:
+        return value.rlike("|".join(map(re.escape, terms)))
     return reduce(lambda a, b: a | b, [value.contains(t) for t in terms])
 
 

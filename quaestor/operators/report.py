@@ -26,9 +26,9 @@ def findings(protocols: DataFrame, profiles: tuple[str, ...] = PROFILES) -> Data
     order; rows may share a reference. Each grain is one scan with one array of checks."""
     rows = ex.experiments(protocols)
     parts = [
-        run(pr.with_texts(protocols), pr.protocol_rules(), profiles, ["protocol_id"]),
-        run(pr.participants(protocols), pr.participant_rules(), profiles, ["protocol_id"], "part_idx"),
-        run(rows, ex.experiment_rules(), profiles, ["protocol_id"], "exp_idx"),
+        run(pr.with_texts(protocols), pr.protocol_rules, profiles, ["protocol_id"]),
+        run(pr.participants(protocols), pr.participant_rules, profiles, ["protocol_id"], "part_idx"),
+        run(rows, ex.experiment_rules, profiles, ["protocol_id"], "exp_idx"),
     ]
     for grouped in (pr.multiple_survival(rows), totals_findings(protocols, rows)):
         parts.append(grouped.withColumn("profile", F.explode(F.array(*map(F.lit, profiles)))))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PROFILES = ("default", "strict_law")
@@ -52,12 +54,23 @@ def checks(rules: list[Rule], profile: Column, place: Column, suffix: Column) ->
     return F.filter(F.array(*made), lambda x: x.isNotNull())
 
 
-def run(rows: DataFrame, rules: list[Rule], profiles: tuple[str, ...], keys: list[str], place: str | None = None) -> DataFrame:
+#: Compiled checks by session, rules and place: columns refer to names only, and making thousands of them takes seconds.
+_COMPILED: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def _compiled(session: SparkSession, rules: Callable[[], list[Rule]], place: str | None) -> Column:
+    own = _COMPILED.setdefault(session, {})
+    if (rules, place) not in own:
+        at = F.col(place) if place else F.lit(0)
+        suffix = F.concat(F.lit(":exp-"), at.cast("string")) if place else F.lit("")
+        own[rules, place] = F.inline(checks(rules(), F.col("profile"), at, suffix))
+    return own[rules, place]
+
+
+def run(rows: DataFrame, rules: Callable[[], list[Rule]], profiles: tuple[str, ...], keys: list[str], place: str | None = None) -> DataFrame:
     """(keys..., profile, seq, ref, status, severity, message) of all rules over all rows and profiles."""
-    at = F.col(place) if place else F.lit(0)
-    suffix = F.concat(F.lit(":exp-"), at.cast("string")) if place else F.lit("")
     rows = rows.withColumn("profile", F.explode(F.array(*map(F.lit, profiles)))) if len(profiles) > 1 else rows.withColumn("profile", F.lit(profiles[0]))
-    return rows.select(*keys, "profile", F.inline(checks(rules, F.col("profile"), at, suffix)))
+    return rows.select(*keys, "profile", _compiled(rows.sparkSession, rules, place))
 
 
 def profile_of(name: Column) -> Column:
