@@ -63,7 +63,7 @@ def counters(failed: Column, severity: Column, kind: Column) -> list[Column]:
     ]
 
 
-def reports(protocols: DataFrame, found: DataFrame, pack: str = dims.DEFAULT_PACK) -> DataFrame:
+def reports(protocols: DataFrame, found: DataFrame, pack: str = dims.DEFAULT_PACK, profiles: tuple[str, ...] = PROFILES) -> DataFrame:
     """One row for each protocol and profile: status, counters, the ordered checklist and rules left out by the pack."""
     rows = annotate(found)
     kept = in_pack(rows, pack)
@@ -71,8 +71,8 @@ def reports(protocols: DataFrame, found: DataFrame, pack: str = dims.DEFAULT_PAC
         *counters(F.col("status") == "fail", F.col("severity"), F.col("rule_kind")),
         F.array_sort(F.collect_list(F.struct("seq", "status", "message", "severity", "ref", "rule_id", "rule_kind"))).alias("checklist"),
     )
-    profiles = protocols.select("protocol_id").join(F.broadcast(found.select("profile").distinct()))
-    made = profiles.join(made, ["protocol_id", "profile"], "left").fillna(0, ["errors", "warnings", "structural_errors", "law_critical_errors", "advisory_warnings"])
+    every = protocols.select("protocol_id", F.explode(F.array(*map(F.lit, profiles))).alias("profile"))
+    made = every.join(made, ["protocol_id", "profile"], "left").fillna(0, ["errors", "warnings", "structural_errors", "law_critical_errors", "advisory_warnings"])
     used = set(dims.PACKS.get(pack, dims.PACKS[dims.DEFAULT_PACK])[0])
     outside = sum(j not in used for _, _, j in dims.RULES)
     return made.withColumn("status", F.when(F.col("errors") == 0, "pass").otherwise("fail")).withColumns({"jurisdiction": F.lit(pack if pack in dims.PACKS else dims.DEFAULT_PACK), "ruleset_version": F.lit(dims.RULESET_VERSION), "rules_outside_pack": F.lit(outside)})
@@ -115,4 +115,4 @@ def with_prefixes(found: DataFrame, prefixes: list[str]) -> DataFrame:
 def lint(protocols: DataFrame, profiles: tuple[str, ...] = PROFILES, pack: str = dims.DEFAULT_PACK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(findings, reports, signals) of protocols."""
     found = findings(protocols, profiles)
-    return found, reports(protocols, found, pack), ex.signals(ex.experiments(protocols))
+    return found, reports(protocols, found, pack, profiles), ex.signals(ex.experiments(protocols))
