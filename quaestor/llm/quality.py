@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import frozen
 
+Sized = Callable[[DataFrame], DataFrame]
 BLANKS = r"[\x20\x09-\x0D]"
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 #: Share of a group's rows that its estimates rest on, concentration steps, and the fewest rows of a group.
 SUPPORT, STEPS, LEAST_ROWS = 0.75, 2, 50
+#: Groups up to which their estimates (a row of some 200 bytes each) are sent to every task; beyond it, they are joined.
+BROADCAST_GROUPS = 50_000
 #: Probability that a good row, were it normal, is rejected by its distance.
 TAIL = 1e-9
 #: The coordinates of a statistic vector, and of each the deviation that is too small to matter: it is added to the
@@ -97,23 +101,23 @@ def _estimates(rows: DataFrame, support: float) -> DataFrame:
     return found.select("group", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
 
 
-def _with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+def _with_distance(rows: DataFrame, estimates: DataFrame, sized: Sized) -> DataFrame:
     """rows with d2, the squared Mahalanobis distance from their group's estimates; null without any."""
     own = [c for c in rows.columns if c != "d2"]
     solved: list[Column] = []
     for i in range(len(COORDINATES)):
         rest = F.col(f"x{i}") - F.col(f"m{i}") - sum((F.col(f"l{i}{k}") * solved[k] for k in range(i)), F.lit(0.0))
         solved.append(rest / F.col(f"l{i}{i}"))
-    return rows.join(estimates, "group", "left").select(*own, sum((y * y for y in solved[1:]), solved[0] * solved[0]).alias("d2"))
+    return rows.join(sized(estimates), "group", "left").select(*own, sum((y * y for y in solved[1:]), solved[0] * solved[0]).alias("d2"))
 
 
-def _closest(rows: DataFrame, share: float) -> DataFrame:
+def _closest(rows: DataFrame, share: float, sized: Sized) -> DataFrame:
     """Of each group, the given share of rows with the smallest distances (and those that tie)."""
     edge = rows.groupBy("group").agg(F.percentile_approx("d2", share, 2000).alias("edge"))
-    return rows.join(edge, "group").where("d2 <= edge").drop("edge")
+    return rows.join(sized(edge), "group").where("d2 <= edge").drop("edge")
 
 
-def _grouped(rows: DataFrame, least: int) -> DataFrame:
+def _grouped(rows: DataFrame, least: int, sized: Sized) -> DataFrame:
     """rows with their group: language and source, if these have enough good rows; otherwise all such small sources of the
     language together, or all such small languages; null if these are too few."""
     def counted(key: str) -> DataFrame:
@@ -122,11 +126,11 @@ def _grouped(rows: DataFrame, least: int) -> DataFrame:
     rows = rows.withColumn("group", F.to_json(F.array("lang", "source")))
     for broader in (F.to_json(F.array("lang")), F.lit("[]"), F.lit(None).cast("string")):
         small = F.coalesce(F.col("_rows"), F.lit(0)) < least
-        rows = rows.join(counted("group"), "group", "left").withColumn("group", F.when(small, broader).otherwise(F.col("group"))).drop("_rows")
+        rows = rows.join(sized(counted("group")), "group", "left").withColumn("group", F.when(small, broader).otherwise(F.col("group"))).drop("_rows")
     return rows
 
 
-def outliers(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS, tail: float = TAIL, least: int = LEAST_ROWS) -> DataFrame:
+def outliers(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS, tail: float = TAIL, least: int = LEAST_ROWS, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """rows (with lang, source, base_failed and STATISTICS) with d2, their squared robust distance, and `outlier`.
 
     Minimum covariance determinant of the transformed statistics of each language and source: starting from the rows that
@@ -137,20 +141,23 @@ def outliers(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS, tail
     """
     p = len(COORDINATES)
     columns = [c for c in rows.columns if c not in ("d2", "outlier")]
-    rows = _grouped(rows.select(*columns), least).select(*columns, "group", *[f().alias(f"x{i}") for i, (f, _) in enumerate(COORDINATES.values())])
+    # A hot group would meet its one row of estimates in one task; sent to all tasks, it stays where its rows are.
+    few = rows.select("lang", "source").distinct().count() <= broadcast_groups
+    sized: Sized = F.broadcast if few else (lambda df: df)
+    rows = _grouped(rows.select(*columns), least, sized).select(*columns, "group", *[f().alias(f"x{i}") for i, (f, _) in enumerate(COORDINATES.values())])
     rows = frozen(rows)
     good = rows.where("not base_failed and group is not null").select("group", *[f"x{i}" for i in range(p)])
     middle = good.groupBy("group").agg(*[F.percentile_approx(f"x{i}", 0.5, 2000).alias(f"c{i}") for i in range(p)])
-    centred = good.join(middle, "group")
+    centred = good.join(sized(middle), "group")
     spread = centred.groupBy("group").agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), 0.5, 2000).alias(f"w{i}") for i in range(p)])
     own = [d for _, d in COORDINATES.values()]
     terms = [F.pow((F.col(f"x{i}") - F.col(f"c{i}")) / (1.4826 * F.col(f"w{i}") + own[i]), 2) for i in range(p)]
-    near = centred.join(spread, "group").select("group", *[f"x{i}" for i in range(p)], sum(terms[1:], terms[0]).alias("d2"))
+    near = centred.join(sized(spread), "group").select("group", *[f"x{i}" for i in range(p)], sum(terms[1:], terms[0]).alias("d2"))
     for _ in range(steps):
-        estimates = frozen(_estimates(_closest(near, support), support))
-        near = _with_distance(good, estimates)
+        estimates = frozen(_estimates(_closest(near, support, sized), support))
+        near = _with_distance(good, estimates, sized)
     estimates = frozen(_estimates(near.where(F.col("d2") <= chi2_quantile(0.975, p)), 0.975))
-    found = _with_distance(rows, estimates)
+    found = _with_distance(rows, estimates, sized)
     return found.select(*columns, "d2", F.coalesce(F.col("d2") > chi2_quantile(1 - tail, p), F.lit(False)).alias("outlier"))
 
 

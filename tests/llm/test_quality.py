@@ -50,7 +50,9 @@ def fixture(rng):
     return rows, junk
 
 
-def test_outliers_are_junk(spark):
+@pytest.mark.parametrize("groups", [50_000, 0])
+def test_outliers_are_junk(spark, monkeypatch, groups):
+    monkeypatch.setattr(quality.outliers, "__defaults__", (*quality.outliers.__defaults__[:-1], groups))
     rows, junk = fixture(random.Random(5))
     rows += [(5000, sentence(random.Random(1), 30), None, None, None, None, None), (5001, None, "en", "hot", None, None, None), (5002, sentence(random.Random(2), 80), "xx", None, None, None, None)]
     got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
