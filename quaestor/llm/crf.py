@@ -14,7 +14,7 @@ from .bytewords import Words, buffers, word_hashes, words_of
 from .common import bounded_sample, stored
 
 #: Labelled rows that words are counted on, and rows of each label that the field is fitted on, at most about.
-LEXICON_ROWS, FIELD_ROWS = 20_000, 500
+LEXICON_ROWS, FIELD_ROWS = 20_000, 1_000
 #: Bytes of the word starts that are features beside the whole word (0).
 STARTS = (0, 4, 5, 6, 7, 8)
 #: Words and starts with weights of their own; toxic rows that one needs; share of toxic rows from which it marks a token.
@@ -51,7 +51,10 @@ class ToxicityModel:
         """The toxic state's log potential of each word, against the clean one's 0; ids[f, i] is feature f of word i."""
         own, left, right = self.emissions
         before, after = _neighbours(ids[0], first)
-        return self.bias + own[ids].sum(axis=0) + left[before] + right[after]
+        total = self.bias + left[before] + right[after]
+        for x in ids:  # one feature at a time: all at once take six times the memory
+            total += own[x]
+        return total
 
 
 def _ends(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -87,3 +87,16 @@ def test_one_label_and_empty_tables(spark, model):
         flat = crf.fit(spark.createDataFrame(rows, SCHEMA))
         (r,) = crf.score_toxicity(spark.createDataFrame([(1, "idiot", None, None, None)], SCHEMA), flat).collect()
         assert r.score == pytest.approx(want) and r.spans == []
+
+
+def test_all_rows_below_the_bound_give_weights(spark):
+    """1,000 rows of each label are within the bound, so each word of the lexicon is seen by the field, rare ones too."""
+    rng, rows = random.Random(6), []
+    rare = [f"{rng.getrandbits(48):012x}" for _ in range(300)]
+    for i in range(2000):
+        words = rng.choices(CLEAN, k=12)
+        if i % 2:
+            words.insert(rng.randrange(12), rare[i // 2 % 300])
+        rows.append((i, " ".join(words), i % 2, None, None))
+    model = crf.fit(spark.createDataFrame(rows, SCHEMA))
+    assert len(model.words) > 300 and (model.emissions[0, 1:] != 0).all()
