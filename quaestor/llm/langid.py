@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, strings, text_slices
+from .common import strings, text_slices
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
-#: Bound of the labelled rows that the model is fitted on, and the fewest of them that make a language.
-TRAINING_ROWS, LEAST_ROWS = 20_000, 3
+#: Bound of the labelled rows that the model is fitted on, by their share; the fewest rows of the table that make a
+#: language; and rows of each language that count even if its share is less (all, if it has no more).
+TRAINING_ROWS, LEAST_ROWS, LANGUAGE_ROWS = 20_000, 3, 1000
 #: Additive smoothing of bucket counts.
 SMOOTHING = 0.5
 #: Characters handled at once.
@@ -92,42 +93,44 @@ class LanguageModel:
 
 
 def fit(labelled: DataFrame, rows: int = TRAINING_ROWS, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS) -> LanguageModel:
-    """Learns from (text, lang, doc_id); rows with a null text or lang are left out. At most about `rows` rows, chosen by a
-    hash of doc_id, are counted; languages with under LEAST_ROWS of them are left out.
+    """Learns from (text, lang, doc_id); rows with a null text or lang are left out, and so are languages with under
+    LEAST_ROWS rows. About `rows` rows, chosen by a hash of doc_id, are counted, and of rare languages more than their share:
+    up to LANGUAGE_ROWS each. Priors are those of the whole table.
 
     Tasks send sparse counts (language, bucket, n), which are summed by a shuffle; the driver gets the matrix alone.
     """
-    labelled = bounded_sample(labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang"), "doc_id", rows)
+    labelled = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    docs = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect() if r["count"] >= LEAST_ROWS}
+    languages = sorted(docs)
+    if not languages:
+        return LanguageModel([], np.zeros((buckets + 1, 0), dtype=np.float32), np.zeros(0), orders)
+    share, parts = rows / sum(docs.values()), 1 << 53
+    most = F.create_map(*[F.lit(x) for lang, n in docs.items() for x in (lang, int(parts * min(1.0, max(share, LANGUAGE_ROWS / n))))])
+    labelled = labelled.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(parts)) < most[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, counts = Grams(orders, buckets), {}
-        docs: dict[str, int] = {}
         for batch in batches:
             texts, langs = strings(batch.column(1)), batch.column(2).to_pylist()
             for lang in set(langs):
                 own = [t for t, x in zip(texts, langs) if x == lang]
-                docs[lang] = docs.get(lang, 0) + len(own)
                 into = counts.setdefault(lang, np.zeros(buckets + 1, dtype=np.int64))
                 for _, _, codes, owner in grams.batches(own):
                     for bucket in grams.hashed(codes, owner):
                         into += np.bincount(bucket, minlength=buckets + 1)
         for lang, into in counts.items():
             at = np.flatnonzero(into[:buckets])
-            at, n = np.append(at, -1), np.append(into[at], docs[lang])  # bucket -1: documents
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(n)], names=["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(into[at])], names=["lang", "bucket", "n"])
 
     found = labelled.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
-    docs = {r.lang: r.n for r in found if r.bucket < 0}
-    languages = sorted(x for x, n in docs.items() if n >= LEAST_ROWS)
     at = {x: i for i, x in enumerate(languages)}
     counts = np.zeros((buckets + 1, len(languages)))
     for r in found:
-        if r.bucket >= 0 and r.lang in at:
-            counts[r.bucket, at[r.lang]] = r.n
+        counts[r.bucket, at[r.lang]] = r.n
     weights = np.log((counts + SMOOTHING) / (counts.sum(axis=0) + SMOOTHING * buckets))
     weights[buckets] = 0
     total = np.array([docs[x] for x in languages], dtype=float)
-    return LanguageModel(languages, weights.astype(np.float32), np.log(total / total.sum()) if languages else total, orders)
+    return LanguageModel(languages, weights.astype(np.float32), np.log(total / total.sum()), orders)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

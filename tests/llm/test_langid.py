@@ -57,3 +57,13 @@ def test_empty_tables(spark, model):
     unlearned = langid.fit(none)
     (row,) = langid.identify(spark.createDataFrame([(1, "abc", None, None, None)], SCHEMA), unlearned).collect()
     assert (row.lang_pred, row.score) == ("und", 0.0)
+
+
+def test_rare_languages_of_a_large_table(spark):
+    """Beyond the bound, a rare language keeps its rows; priors are of the whole table."""
+    rng = random.Random(4)
+    rows = [(i, text_of("aa", rng, 5), "aa", None, None) for i in range(3000)] + [(5000 + i, text_of("bb", rng, 5), "bb", None, None) for i in range(12)]
+    model = langid.fit(spark.createDataFrame([*rows, (9000, "solo", "zz", None, None)], SCHEMA), rows=200)
+    assert model.languages == ["aa", "bb"] and np.allclose(np.exp(model.prior), [3000 / 3012, 12 / 3012])
+    texts = [(i, text_of("bb", rng), None, None, None) for i in range(20)]
+    assert {r.lang_pred for r in langid.identify(spark.createDataFrame(texts, SCHEMA), model).collect()} == {"bb"}
