@@ -15,7 +15,6 @@ SCHEMA = "doc_id long, text string, n long, key string, place string"
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -28,6 +27,17 @@ def test_ids_are_those_of_the_library(plain):
         assert bpe.ids(text).tolist() == plain(text), repr(text)
 
 
+def test_ids_of_added_tokens_and_long_runs(plain):
+    """The added token's string is that token; runs of blanks of any length, and other long runs, are what the library makes of them."""
+    bpe = ByteBPE(PATH)
+    assert bpe.ids("<|endoftext|>").tolist() == [50256]
+    texts = ["a  <|endoftext|>\n b<|endoftext|><|endoftext|> c", "<|endoftext|", *("x" * 200_000, "1" * 200_000, "é!" * 100_000)]
+    for run in (" " * 2_000_000, "\n" * 2_000_000, " \n" * 20_000, "\u3000\xa0" * 20_000):
+        texts += [run, "word" + run + "end", "word." + run + "\n", run[:12_000] + "<|endoftext|>" + run[:12_000]]
+    for text in texts:
+        assert bpe.ids(text).tolist() == plain(text), repr(text[:40])
+
+
 def test_hilbert_curve_steps_to_neighbours():
     side = np.arange(8)
     points = np.stack(np.meshgrid(side, side, side), axis=-1).reshape(-1, 3)
@@ -38,7 +48,7 @@ def test_hilbert_curve_steps_to_neighbours():
 
 def test_pieces_give_back_the_documents(spark, plain):
     rng = random.Random(4)
-    texts = [None, "", "word", "same text here", "same text here", *(" ".join(rng.choices(["alpha", "beta", "gamma.", "λ", "\n"], k=rng.randint(0, 400))) for _ in range(60)), "long " * 3000]
+    texts = [None, "", "word", "same text here", "same text here", "end <|endoftext|> of", "\n" * 50_000 + "x", *(" ".join(rng.choices(["alpha", "beta", "gamma.", "λ", "\n"], k=rng.randint(0, 400))) for _ in range(60)), "long " * 3000]
     rows = [(i, t, None, "clash", "clash") for i, t in enumerate(texts)] + [(3, "same text here", None, None, None), (None, "no id", None, None, None)]
     got = packing.pack(spark.createDataFrame(rows, SCHEMA).repartition(3), PATH, sequence=256).collect()
     sequences, docs = {}, {}

@@ -76,7 +76,6 @@ def test_personal_data(stages):
 
 def test_packing(stages):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     pieces = {}
     for r in stages[5][1]:
         pieces.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
