@@ -42,12 +42,14 @@ def crc_mod(key: str, modulus: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, key: str, bound: int, salt: str = "sample", n: int | None = None) -> DataFrame:
-    """About `bound` rows of `df` at most, chosen by a hash of `key` and salt; all rows if there are no more than that. `n`
-    is the number of rows, if it is known."""
+    """About `bound` rows of `df` at most, chosen by a hash of the whole row, its `key` and salt first; all rows if there are
+    no more than that. Only rows that are equal in all columns go in or out together. `n` is the number of rows, if known."""
     n = df.count() if n is None else n
     if n <= bound:
         return df
-    return df.where(F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1_000_000)) < int(1_000_000 * bound / n))
+    parts = 1 << 53
+    rest = [f"`{c}`" for c in df.columns if c != key]
+    return df.where(F.pmod(F.xxhash64(F.lit(salt), F.col(key), *rest), F.lit(parts)) < int(parts * bound / n))
 
 
 def text_slices(texts: list, most: int) -> Iterator[tuple[int, int]]:

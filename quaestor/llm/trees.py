@@ -35,6 +35,13 @@ def as_column(tree: Tree, feature: Callable[[int], Column]) -> Column:
     return F.when(feature(k) <= threshold, as_column(left, feature)).otherwise(as_column(right, feature))
 
 
+def as_sql(tree: Tree, feature: Callable[[int], str]) -> str:
+    if not isinstance(tree, tuple):
+        return f"{tree!r}D"
+    k, threshold, left, right = tree
+    return f"CASE WHEN {feature(k)} <= {threshold!r}D THEN {as_sql(left, feature)} ELSE {as_sql(right, feature)} END"
+
+
 def paths(tree: Tree, before: tuple = ()) -> Iterator[tuple]:
     """Each inner and leaf node but the root as its conditions (feature, threshold, whether it is at most that)."""
     if before:
