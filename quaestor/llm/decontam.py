@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import Words, buffers, gram_hashes, word_hashes, words_of
-from .common import ragged
+from .common import frozen, ragged
 
 WINDOW = 10
 GRAM = 5
 #: Bytes of text handled at once (a longer text is handled alone).
 SLICE = 2 << 20
-#: Words of all items up to which their windows are sent to every task; beyond it, fingerprints are joined by a shuffle.
-BROADCAST_WORDS = 2_000_000
+#: Bytes of the windows' table up to which it is sent to every task; beyond it, fingerprints are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of a window beside its words: fingerprint, place, offset, item and item offset.
+ROW_BYTES = 40
 _NONE = np.uint64(2**64 - 1)
 
 
@@ -57,15 +59,17 @@ def winnow(words: Words, hashes: np.ndarray, window: int, gram: int) -> tuple[np
 
 @dataclass
 class Windows:
-    """Distinct windows of the benchmark, to look up in documents."""
+    """Distinct windows of the benchmark with their items, to look up in documents: by length in words, arrays of equal size,
+    sorted by fingerprint. No Python object per window, so that a task holds about as many bytes as the table has."""
 
-    lengths: list[int]  # of windows, ascending
-    keys: dict[int, np.ndarray]  # of each length: fingerprints, sorted
-    at: dict[int, dict[int, list[tuple[int, bytes, list[str]]]]]  # of a fingerprint: where it lies in a window, the window's words, its items
+    prints: dict[int, np.ndarray]  # fingerprints
+    back: dict[int, np.ndarray]  # the fingerprint's place in its window
+    words: dict[int, pa.Array]  # the window's words, joined by a blank (binary)
+    items: dict[int, pa.Array]  # the item, dictionary-encoded
 
 
-def item_windows(items: list[tuple[str, bytes]], window: int, gram: int) -> list[tuple[int, int, int, bytes, str]]:
-    """(window's words, fingerprint, fingerprint's place in it, words' bytes, item) for each window of each item. An item
+def item_windows(items: list[tuple[str, bytes]], window: int, gram: int) -> list[tuple[int, int, int, bytes, int, str]]:
+    """(window's words, fingerprint, fingerprint's place in it, words' bytes, hash of all of them, item) for each window of each item. An item
     of fewer words than a window is one window of as many."""
     column = pa.array([t for _, t in items], type=pa.large_string())
     words = words_of(*buffers(column))
@@ -77,19 +81,27 @@ def item_windows(items: list[tuple[str, bytes]], window: int, gram: int) -> list
         if first == last:
             continue
         n = min(window, last - first)
+        whole = gram_hashes(hashes[first:last], n).view(np.int64)
         for i in range(first, last - n + 1):
             own = grams[n][i : i + n - min(gram, n) + 1]
             k = int(np.argmin(own))
-            out.append((n, int(own[k].astype(np.int64)), k, words.text(i, i + n), item))
+            out.append((n, int(own[k].astype(np.int64)), k, words.text(i, i + n), int(whole[i - first]), item))
     return out
 
 
-def _windows(rows: list[tuple[int, int, int, bytes, str]]) -> Windows:
-    found: dict = defaultdict(lambda: defaultdict(dict))
-    for n, h, k, text, item in rows:
-        found[n][h % (1 << 64)].setdefault((k, text), set()).add(item)
-    at = {n: {h: [(k, text, sorted(own)) for (k, text), own in by.items()] for h, by in x.items()} for n, x in found.items()}
-    return Windows(sorted(at), {n: np.sort(np.fromiter(x, dtype=np.uint64, count=len(x))) for n, x in at.items()}, at)
+def _windows(table: pa.Table) -> Windows:
+    """From rows (n, h, back, words, item)."""
+    made = Windows({}, {}, {}, {})
+    lengths = table.column("n").to_numpy()
+    for n in sorted(set(lengths.tolist())):
+        own = table.take(pa.array(np.flatnonzero(lengths == n)))
+        prints = own.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(prints, kind="stable")
+        own = own.take(pa.array(order))
+        made.prints[n], made.back[n] = prints[order], own.column("back").to_numpy()
+        made.words[n] = own.column("words").cast(pa.large_binary()).combine_chunks()
+        made.items[n] = own.column("item").combine_chunks().dictionary_encode()
+    return made
 
 
 def _slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -116,38 +128,43 @@ def _counted(a: int, b: int, words: Words, hit: np.ndarray, items: dict[int, set
 
 
 def _search(windows: Windows, window: int, gram: int):
-    """Documents (key..., text) with the counts of _COUNTS; each hit of a fingerprint is extended to its window and
-    compared word for word."""
+    """Documents (columns..., text) with the counts of _COUNTS in place of the text; each hit of a fingerprint is extended to
+    its window and compared word for word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_hit, items = [], [], []
             for a, b, words, hashes in _batches_of_words(batch.column("text")):
                 hit, found = np.zeros(len(hashes), dtype=bool), defaultdict(set)
-                for n in windows.lengths:
-                    keys = windows.keys[n]
+                for n, keys in windows.prints.items():
                     at, prints = winnow(words, hashes, n, gram)
-                    k = np.searchsorted(keys, prints)
-                    same = keys[np.minimum(k, len(keys) - 1)] == prints
-                    at, prints = at[same], prints[same]
-                    text_of = np.searchsorted(words.first, at, side="right") - 1
-                    for i, h, t in zip(at.tolist(), prints.tolist(), text_of.tolist()):
-                        for back, text, own in windows.at[n][h]:
-                            s = i - back
-                            if s >= words.first[t] and s + n <= words.first[t + 1] and words.text(s, s + n) == text:
+                    low, high = np.searchsorted(keys, prints, side="left"), np.searchsorted(keys, prints, side="right")
+                    some = high > low
+                    text_of = np.searchsorted(words.first, at[some], side="right") - 1
+                    for i, lo, hi, t in zip(at[some].tolist(), low[some].tolist(), high[some].tolist(), text_of.tolist()):
+                        own: dict[int, bytes] = {}
+                        for w in range(lo, hi):
+                            s = i - int(windows.back[n][w])
+                            if s < words.first[t] or s + n > words.first[t + 1]:
+                                continue
+                            if s not in own:
+                                own[s] = words.text(s, s + n)
+                            if windows.words[n][w].as_py() == own[s]:
                                 hit[s : s + n] = True
-                                found[t].update(own)
+                                found[t].add(windows.items[n][w].as_py())
                 for column, values in zip((n_words, n_hit, items), _counted(a, b, words, hit, found)):
                     column += values
-            keys = [x for name, x in zip(batch.schema.names, batch.columns) if name != "text"]
             names = [x for x in batch.schema.names if x != "text"]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], names=[*names, "n_words", "n_hit", "items"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(x) for x in names), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], names=[*names, "n_words", "n_hit", "items"]
+            )
 
     return run
 
 
 def _prints(lengths: list[int], gram: int):
-    """(key, n, h, at) for each fingerprint of the documents' windows of each length."""
+    """(key, n, h, back, whole, start) for each fingerprint of the documents' windows of each length and each window that
+    may hold it at place `back`; `whole` is a hash of all the window's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,9 +172,18 @@ def _prints(lengths: list[int], gram: int):
                 for n in lengths:
                     at, prints = winnow(words, hashes, n, gram)
                     t = np.searchsorted(words.first, at, side="right") - 1
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("key").slice(a, b - a).take(pa.array(t)), pa.array(np.full(len(at), n, dtype=np.int64)), pa.array(prints.view(np.int64)), pa.array(at - words.first[t])], names=["key", "n", "h", "at"]
-                    )
+                    whole = gram_hashes(hashes, n)
+                    for back in range(n - min(gram, n) + 1):
+                        s = at - back
+                        good = (s >= words.first[t]) & (s + n <= words.first[t + 1])
+                        s, of = s[good], t[good]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                batch.column("key").slice(a, b - a).take(pa.array(of)), pa.array(np.full(len(s), n, dtype=np.int64)), pa.array(prints[good].view(np.int64)), pa.array(np.full(len(s), back, dtype=np.int64)),
+                                pa.array(whole[s].view(np.int64)), pa.array(s - words.first[of]),
+                            ],
+                            names=["key", "n", "h", "back", "whole", "start"],
+                        )
 
     return run
 
@@ -188,45 +214,49 @@ def _verify():
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, broadcast_words: int = BROADCAST_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, kept columns..., n_words, n_hit, items, contaminated) for each document.
+def _item_table(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    names = ["n", "h", "back", "words", "whole", "item"]
+    for batch in batches:
+        for t in range(len(batch)):
+            if rows := item_windows([(batch.column(0)[t].as_py(), batch.column(1)[t].as_py())], window, gram):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=names)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, kept columns..., n_words, n_hit, items, contaminated) for each document; a kept column may have any name but
+    these.
 
     Words are runs of ASCII letters and digits and of characters beyond ASCII, with A-Z lower-cased. A window is `window`
     consecutive words of an item, or all words of a shorter one. A document's word is hit if it lies in an occurrence of a
     window; `items` are the ids, sorted as strings, of the items with such windows. Found are windows that share a winnowed
     fingerprint (the smallest k-gram hash of the window) and are then equal word for word. Null texts have no words; items
-    without an id, or without words, are left out; repeated rows count each for itself.
+    without an id, or without words, are left out; repeated rows count each for itself. No documents give no rows, and
+    without a benchmark nothing is contaminated.
 
-    The benchmark's windows go to every task if it has at most `broadcast_words` words. Otherwise both sides'
-    fingerprints are joined by a shuffle, and the candidate windows are sent to the documents that share one.
+    The benchmark's windows are made in tasks. Their table goes to every task if it has at most `broadcast_bytes`, as
+    measured; otherwise both sides' windows are joined by a shuffle on fingerprint and hash of all words, and those that
+    match are sent to the documents for the comparison.
     """
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text").distinct()
-    docs = docs.select(*dict.fromkeys(("doc_id", *keep)), "text")
-    many = items.agg(F.sum(F.length("text"))).first()[0] or 0  # at most as many words
-    renamed = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in renamed)
-    if many <= 4 * broadcast_words:
-        windows = spark.sparkContext.broadcast(_windows(item_windows([tuple(r) for r in items.collect()], window, gram)))
-        out = docs.mapInArrow(lambda batches: _search(windows.value, window, gram)(batches), f"{schema}, {_COUNTS}")
+    tests = frozen(items.mapInArrow(lambda batches: _item_table(batches, window, gram), "n long, h long, back long, words binary, whole long, item string").distinct())
+    size = tests.agg(F.sum(F.octet_length("words") + F.octet_length("item") + ROW_BYTES)).first()[0] or 0
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys(("doc_id", *keep))]).alias("row"), "text")
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, {_COUNTS}"
+    if size <= broadcast_bytes:
+        shared = spark.sparkContext.broadcast(_windows(tests.select("n", "h", "back", "words", "item").toArrow()))
+        out = rows.mapInArrow(lambda batches: _search(shared.value, window, gram)(batches), schema)
     else:
-        out = _joined(docs, items, window, gram, f"{schema}, {_COUNTS}")
-    return out.withColumn("contaminated", F.col("n_hit") > 0)
-
+        out = _joined(rows, tests, gram, schema)
+    return out.select("row.*", "n_words", "n_hit", "items", (F.col("n_hit") > 0).alias("contaminated"))
 
-def _joined(docs: DataFrame, items: DataFrame, window: int, gram: int, schema: str) -> DataFrame:
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["n", "h", "back", "words", "item"]
-        for batch in batches:
-            for t in range(len(batch)):
-                if rows := item_windows([(batch.column(0)[t].as_py(), batch.column(1)[t].as_py())], window, gram):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=names)
 
-    tests = items.mapInArrow(cut, "n long, h long, back long, words binary, item string").distinct()
+def _joined(rows: DataFrame, tests: DataFrame, gram: int, schema: str) -> DataFrame:
+    """By a shuffle: texts are keyed by their hash, so that copies are looked at once."""
     lengths = sorted(r[0] for r in tests.select("n").distinct().collect())  # at most as many as a window has words
-    keyed = docs.withColumn("key", F.sha2("text", 256))
+    keyed = rows.withColumn("key", F.sha2("text", 256))
     texts = keyed.select("key", "text").where("text is not null").dropDuplicates(["key"])
-    prints = texts.mapInArrow(_prints(lengths, gram), "key string, n long, h long, at long")
-    tried = prints.join(tests, ["n", "h"]).select("key", F.struct((F.col("at") - F.col("back")).alias("start"), "n", "words", "item").alias("x"))
+    prints = texts.mapInArrow(_prints(lengths, gram), "key string, n long, h long, back long, whole long, start long")
+    tried = prints.join(tests, ["n", "h", "back", "whole"]).select("key", F.struct("start", "n", "words", "item").alias("x"))
     tried = tried.groupBy("key").agg(F.collect_set("x").alias("tried"))
     return keyed.join(tried, "key", "left").drop("key").mapInArrow(_verify(), schema)

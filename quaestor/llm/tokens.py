@@ -13,7 +13,7 @@ import tiktoken
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space as that pattern means it, and the blanks of a run from which it is cut out of its text.
-_BLANK = "[\t-\r \x85\xa0  -     　]"
+_BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 LONG_RUN = 10_000
 _RUN = re.compile(f"{_BLANK}{{{LONG_RUN},}}")
 

@@ -48,17 +48,18 @@ def test_against_plain_search(spark, limit, monkeypatch):
     items, texts = fixture()
     rows = [(i, t, "clash", 1, "clash", "clash") for i, t in enumerate(texts)] + [(2, texts[2], None, None, None, None), (None, texts[8], None, None, None, None)]
     docs, bench = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.contamination(docs, bench, broadcast_words=limit).collect()
+    got = decontam.contamination(docs, bench, broadcast_bytes=limit, keep=("key", "text")).collect()
     assert len(got) == len(rows)
     good = [(i, b) for i, b in items if i is not None]
     for r in got:
         n, hit, found = plain(texts[8 if r.doc_id is None else r.doc_id], good)
+        assert r.text == texts[8 if r.doc_id is None else r.doc_id]
         assert (r.n_words, r.n_hit, list(r["items"]), r.contaminated) == (n, hit, found, hit > 0)
 
 
 @pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_empty_tables(spark, limit):
     docs, bench = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a b")], "item_id long, text string")
-    assert decontam.contamination(docs.limit(0), bench, broadcast_words=limit).collect() == []
-    (row,) = decontam.contamination(docs, bench.limit(0), broadcast_words=limit).collect()
+    assert decontam.contamination(docs.limit(0), bench, broadcast_bytes=limit).collect() == []
+    (row,) = decontam.contamination(docs, bench.limit(0), broadcast_bytes=limit).collect()
     assert (row.n_words, row.n_hit, row["items"]) == (2, 0, [])
