@@ -14,8 +14,14 @@ Sized = Callable[[DataFrame], DataFrame]
 BLANKS = r"[\x20\x09-\x0D]"
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
-#: Share of a group's rows that its estimates rest on, concentration steps, and the fewest rows of a group.
-SUPPORT, STEPS, LEAST_ROWS = 0.75, 2, 50
+#: Share of a group's rows that its estimates rest on, and the fewest rows of a group.
+SUPPORT, LEAST_ROWS = 0.75, 50
+#: Change of a log-determinant up to which a support set has settled, and steps after which a fit ends in any case.
+SETTLED, MOST_STEPS = 1e-9, 100
+#: Ways to start the concentration, see `_starts`.
+STARTS = ("scaled", "signs", "bounded")
+#: Quantiles of a grid by which an order statistic is bracketed, the sketches' accuracy, and the rows that a bracket may hold.
+GRID, ACCURACY, BRACKET = 1000, 10_000, 20_000
 #: Groups up to which their estimates (a row of some 200 bytes each) are sent to every task; beyond it, they are joined.
 BROADCAST_GROUPS = 50_000
 #: Probability that a good row, were it normal, is rejected by its distance.
@@ -85,36 +91,98 @@ def chi2_quantile(p: float, freedom: int) -> float:
     return high
 
 
-def _estimates(rows: DataFrame, support: float) -> DataFrame:
-    """For each group: the means m0.. of its rows, and the Cholesky factor l00, l10.. of their covariance, which is scaled
-    for the share of the rows that they are, and widened by the coordinates' own deviations."""
+_KEYS = ["group", "start"]
+
+
+def _estimates(rows: DataFrame, scale: float, own: list[float]) -> DataFrame:
+    """For each group and start: the means m0.. of its rows, the Cholesky factor l00, l10.. of their covariance, which is
+    scaled and widened by the coordinates' own deviations, and the logarithm of the determinant."""
     p = len(COORDINATES)
-    scale = support / chi2_cdf(chi2_quantile(support, p), p + 2)
     means = [F.avg(f"x{i}").alias(f"m{i}") for i in range(p)]
     covariances = [F.covar_pop(f"x{i}", f"x{j}").alias(f"s{i}{j}") for i in range(p) for j in range(i + 1)]
-    found = rows.groupBy("group").agg(*means, *covariances)
-    own = [d for _, d in COORDINATES.values()]
+    found = rows.groupBy(*_KEYS).agg(*means, *covariances)
     for i in range(p):
         for j in range(i + 1):
             rest = F.col(f"s{i}{j}") * scale + (own[i] ** 2 if i == j else 0.0) - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
             found = found.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
-    return found.select("group", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
+    logs = [2 * F.log(f"l{i}{i}") for i in range(p)]
+    return found.select(*_KEYS, *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)], sum(logs[1:], logs[0]).alias("log_det"))
 
 
-def _with_distance(rows: DataFrame, estimates: DataFrame, sized: Sized) -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance from their group's estimates; null without any."""
-    own = [c for c in rows.columns if c != "d2"]
+def _consistency(share: float) -> float:
+    """The factor that makes up for the share of the rows, the closest ones, that a covariance is taken of."""
+    p = len(COORDINATES)
+    return share / chi2_cdf(chi2_quantile(share, p), p + 2)
+
+
+def _with_distance(rows: DataFrame, estimates: DataFrame, sized: Sized, of: str = "x") -> DataFrame:
+    """rows, once for each start of their group's estimates, with start and d2, the squared Mahalanobis distance; a group
+    without estimates has nulls."""
+    own = [c for c in rows.columns if c not in ("d2", "start")]
     solved: list[Column] = []
     for i in range(len(COORDINATES)):
-        rest = F.col(f"x{i}") - F.col(f"m{i}") - sum((F.col(f"l{i}{k}") * solved[k] for k in range(i)), F.lit(0.0))
+        rest = F.col(f"{of}{i}") - F.col(f"m{i}") - sum((F.col(f"l{i}{k}") * solved[k] for k in range(i)), F.lit(0.0))
         solved.append(rest / F.col(f"l{i}{i}"))
-    return rows.join(sized(estimates), "group", "left").select(*own, sum((y * y for y in solved[1:]), solved[0] * solved[0]).alias("d2"))
-
-
-def _closest(rows: DataFrame, share: float, sized: Sized) -> DataFrame:
-    """Of each group, the given share of rows with the smallest distances (and those that tie)."""
-    edge = rows.groupBy("group").agg(F.percentile_approx("d2", share, 2000).alias("edge"))
-    return rows.join(sized(edge), "group").where("d2 <= edge").drop("edge")
+    return rows.select(*own).join(sized(estimates), "group", "left").select(*own, "start", sum((y * y for y in solved[1:]), solved[0] * solved[0]).alias("d2"))
+
+
+def _closest(near: DataFrame, share: float, largest: int, sized: Sized) -> DataFrame:
+    """Of each group and start, the given share of rows (rounded up) with the smallest distances, and those that tie with the
+    last of them. The order statistic is exact: quantile sketches bracket it, once more for each GRID / 2 times that the
+    largest group exceeds a bracket, and the few distances of the last bracket are sorted."""
+    bounds, left = None, largest
+    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    while bounds is None or left > BRACKET:
+        if bounds is None:
+            found = near.groupBy(*_KEYS).agg(F.percentile_approx("d2", grid, ACCURACY).alias("q"), F.count("*").alias("n"))
+            found = found.select(*_KEYS, "q", "n", F.ceil(F.col("n") * share).alias("k"), F.lit(0).cast("long").alias("below"))
+        else:
+            inside = F.col("d2").between(F.col("lo"), F.col("hi"))
+            found = near.join(sized(bounds), _KEYS).groupBy(*_KEYS).agg(F.percentile_approx(F.when(inside, F.col("d2")), grid, ACCURACY).alias("q"), F.count_if(inside).alias("n"), F.first("k").alias("k"), F.count_if(F.col("d2") < F.col("lo")).alias("below"))
+        at = F.floor((F.col("k") - F.col("below")) / F.col("n") * GRID).cast("int")
+        bounds = found.select(*_KEYS, "k", F.when(at > 1, F.get("q", at - 1)).otherwise(-1.0).alias("lo"), F.coalesce(F.get("q", at + 2), F.lit(float("inf"))).alias("hi"))
+        left = left * 4 // GRID
+    inside = F.col("d2").between(F.col("lo"), F.col("hi"))
+    last = near.join(sized(bounds), _KEYS).groupBy(*_KEYS).agg(F.array_sort(F.collect_list(F.when(inside, F.col("d2")))).alias("d"), (F.first("k") - F.count_if(F.col("d2") < F.col("lo"))).cast("int").alias("i"))
+    return near.join(sized(last.select(*_KEYS, F.get("d", F.col("i") - 1).alias("edge"))), _KEYS).where("d2 <= edge").drop("edge")
+
+
+def _starts(good: DataFrame, sized: Sized) -> DataFrame:
+    """good with d2 by each of STARTS, deterministic ways to tell rows near a group's middle: deviations from the medians,
+    scaled by median deviations, and distances by the covariances of these deviations' signs (their directions alone) and of
+    their hyperbolic tangents, neither of which far rows can move much."""
+    p = len(COORDINATES)
+    own = [d for _, d in COORDINATES.values()]
+    middle = good.groupBy("group").agg(*[F.percentile_approx(f"x{i}", 0.5, ACCURACY).alias(f"c{i}") for i in range(p)])
+    centred = good.join(sized(middle), "group")
+    spread = centred.groupBy("group").agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), 0.5, ACCURACY).alias(f"w{i}") for i in range(p)])
+    scaled = [((F.col(f"x{i}") - F.col(f"c{i}")) / (1.4826 * F.col(f"w{i}") + own[i])).alias(f"z{i}") for i in range(p)]
+    rows = centred.join(sized(spread), "group").select("group", *[f"x{i}" for i in range(p)], *scaled)
+    squares = sum((F.col(f"z{i}") ** 2 for i in range(1, p)), F.col("z0") ** 2)
+    bent = F.array(
+        F.struct(F.lit(STARTS[1]).alias("start"), *[(F.col(f"z{i}") / F.sqrt(squares + 1e-12)).alias(f"x{i}") for i in range(p)]), F.struct(F.lit(STARTS[2]).alias("start"), *[F.tanh(f"z{i}").alias(f"x{i}") for i in range(p)])
+    )
+    first = _estimates(rows.select("group", F.inline(bent)), 1.0, [0.1] * p)
+    others = _with_distance(rows, first.select(*_KEYS, *[F.lit(0.0).alias(f"m{i}") for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)]), sized, of="z")
+    columns = ["group", *[f"x{i}" for i in range(p)], "start", "d2"]
+    return rows.select(*columns[:-2], F.lit(STARTS[0]).alias("start"), squares.alias("d2")).union(others.select(*columns))
+
+
+def _least_determinant(good: DataFrame, support: float, sized: Sized) -> DataFrame:
+    """Of each group, the estimates of its support set: concentration from each start until no log-determinant changes, then
+    the start with the least one."""
+    largest = good.groupBy("group").count().agg(F.max("count")).first()[0] or 0
+    own, scale, before = [d for _, d in COORDINATES.values()], _consistency(support), None
+    near = _starts(good, sized)
+    for _ in range(MOST_STEPS):
+        now = frozen(_estimates(_closest(near, support, largest, sized), scale, own))
+        if before is not None:
+            moved = now.join(before.select(*_KEYS, F.col("log_det").alias("_was")), _KEYS).where(F.abs(F.col("log_det") - F.col("_was")) > SETTLED)
+            if moved.isEmpty():
+                break
+        before, near = now, _with_distance(good, now, sized)
+    best = now.groupBy("group").agg(F.min_by(F.struct(*now.columns), F.struct(F.round("log_det", 8), "start")).alias("best"))
+    return best.select("best.*")
 
 
 def _grouped(rows: DataFrame, least: int, sized: Sized) -> DataFrame:
@@ -130,33 +198,26 @@ def _grouped(rows: DataFrame, least: int, sized: Sized) -> DataFrame:
     return rows
 
 
-def outliers(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS, tail: float = TAIL, least: int = LEAST_ROWS, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+def outliers(rows: DataFrame, support: float = SUPPORT, tail: float = TAIL, least: int = LEAST_ROWS, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """rows (with lang, source, base_failed and STATISTICS) with d2, their squared robust distance, and `outlier`.
 
-    Minimum covariance determinant of the transformed statistics of each language and source: starting from the rows that
-    are closest to the medians, scaled by median deviations, each step takes mean and covariance of the closest `support`
-    of the rows and finds the closest anew; a last step re-weights by the 97.5 % point. Estimates are sums and sketches that
-    combine before any shuffle, so a hot source costs no more than others. Rows that fail the base rules take no part in
-    the estimates. Groups with under `least` rows are pooled; where even the pool is too small, nothing is an outlier.
+    Minimum covariance determinant of the transformed statistics of each language and source: from several deterministic
+    starts, each step takes mean and covariance of the closest `support` of the rows and finds the closest anew, until the
+    support sets settle; the least determinant wins, and a last step re-weights by the 97.5 % point. Estimates are sums and
+    sketches that combine before any shuffle, so a hot source costs no more than others. Rows that fail the base rules take
+    no part in the estimates. Groups with under `least` rows are pooled; where even the pool is too small, nothing is an
+    outlier. Rows that tie with a support set's last one belong to it; no rows give no rows.
     """
     p = len(COORDINATES)
     columns = [c for c in rows.columns if c not in ("d2", "outlier")]
-    # A hot group would meet its one row of estimates in one task; sent to all tasks, it stays where its rows are.
+    # A hot group would meet its rows of estimates in one task; sent to all tasks, they stay where the rows are.
     few = rows.select("lang", "source").distinct().count() <= broadcast_groups
     sized: Sized = F.broadcast if few else (lambda df: df)
     rows = _grouped(rows.select(*columns), least, sized).select(*columns, "group", *[f().alias(f"x{i}") for i, (f, _) in enumerate(COORDINATES.values())])
     rows = frozen(rows)
     good = rows.where("not base_failed and group is not null").select("group", *[f"x{i}" for i in range(p)])
-    middle = good.groupBy("group").agg(*[F.percentile_approx(f"x{i}", 0.5, 2000).alias(f"c{i}") for i in range(p)])
-    centred = good.join(sized(middle), "group")
-    spread = centred.groupBy("group").agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), 0.5, 2000).alias(f"w{i}") for i in range(p)])
-    own = [d for _, d in COORDINATES.values()]
-    terms = [F.pow((F.col(f"x{i}") - F.col(f"c{i}")) / (1.4826 * F.col(f"w{i}") + own[i]), 2) for i in range(p)]
-    near = centred.join(sized(spread), "group").select("group", *[f"x{i}" for i in range(p)], sum(terms[1:], terms[0]).alias("d2"))
-    for _ in range(steps):
-        estimates = frozen(_estimates(_closest(near, support, sized), support))
-        near = _with_distance(good, estimates, sized)
-    estimates = frozen(_estimates(near.where(F.col("d2") <= chi2_quantile(0.975, p)), 0.975))
+    near = _with_distance(good, _least_determinant(good, support, sized), sized)
+    estimates = frozen(_estimates(near.where(F.col("d2") <= chi2_quantile(0.975, p)), _consistency(0.975), [d for _, d in COORDINATES.values()]))
     found = _with_distance(rows, estimates, sized)
     return found.select(*columns, "d2", F.coalesce(F.col("d2") > chi2_quantile(1 - tail, p), F.lit(False)).alias("outlier"))
 

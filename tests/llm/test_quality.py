@@ -1,8 +1,10 @@
+import itertools
 import random
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quaestor.llm import quality
 
@@ -61,27 +63,61 @@ def test_outliers_are_junk(spark, monkeypatch, groups):
     assert got[5002].kept and got[5000].base_failed and got[5001].base_failed
 
 
+def estimate(x, keep, share):
+    """(mean, covariance) as in _estimates."""
+    own = np.array([d for _, d in quality.COORDINATES.values()])
+    scale = share / quality.chi2_cdf(quality.chi2_quantile(share, 5), 7)
+    return x[keep].mean(axis=0), np.cov(x[keep].T, bias=True) * scale + np.diag(own**2)
+
+
+def distances(x, mean, cov):
+    return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+
 def test_distances_against_numpy(spark):
-    """The last estimate of a group is the mean and covariance of the rows that were within the 97.5 % point, so all
-    distances follow from them."""
+    """The distances follow from a support set that no concentration step changes, and none that numpy reaches from random
+    subsets has a smaller determinant."""
     rows, _ = fixture(random.Random(6))
     judged = quality.judge(spark.createDataFrame(rows[:800], SCHEMA)).collect()
     ok = [r for r in judged if not r.base_failed]
     x = np.array([[np.log1p(r.n_words), np.log((r.word_chars + 1) / (r.n_words + 1)), r.n_symbols / (r.word_chars + 1), np.log1p(r.n_dup_lines), r.n_repeat_words / (r.n_words + 1)] for r in ok])
-    own = np.array([d for _, d in quality.COORDINATES.values()])
-    middle = np.median(x, axis=0)
-    d2 = (((x - middle) / (1.4826 * np.median(np.abs(x - middle), axis=0) + own)) ** 2).sum(axis=1)
-
-    def estimate(keep, share):
-        scale = share / quality.chi2_cdf(quality.chi2_quantile(share, 5), 7)
-        z = x - x[keep].mean(axis=0)
-        s = np.cov(x[keep].T, bias=True) * scale + np.diag(own**2)
-        return np.einsum("ij,jk,ik->i", z, np.linalg.inv(s), z)
-
-    for _ in range(quality.STEPS):
-        d2 = estimate(d2 <= np.quantile(d2, quality.SUPPORT), quality.SUPPORT)
-    d2 = estimate(d2 <= quality.chi2_quantile(0.975, 5), 0.975)
-    assert np.allclose(d2, [r.d2 for r in ok], rtol=0.1)
+    h, rng, best = int(np.ceil(len(x) * quality.SUPPORT)), np.random.default_rng(1), None
+    for _ in range(30):
+        keep = rng.permutation(len(x))[: rng.choice([8, h])]
+        for _ in range(100):
+            mean, cov = estimate(x, keep, quality.SUPPORT)
+            d2 = distances(x, mean, cov)
+            keep = np.flatnonzero(d2 <= np.sort(d2)[h - 1])
+        best = min(best or (np.inf, None), (np.linalg.slogdet(cov)[1], tuple(keep)))
+    d2 = distances(x, *estimate(x, np.array(best[1]), quality.SUPPORT))
+    d2 = distances(x, *estimate(x, d2 <= quality.chi2_quantile(0.975, 5), 0.975))
+    assert np.allclose(d2, [r.d2 for r in ok], rtol=1e-6)
+
+
+def test_least_determinant_against_all_subsets(spark):
+    """On small groups: no subset of the support's size has a smaller determinant than the chosen one."""
+    rng = np.random.default_rng(4)
+    groups = {g: np.concatenate([rng.normal(0, [1, 0.2, 0.02, 0.5, 0.1], (9, 5)), rng.normal(6, 1, (3, 5))]) for g in "abc"}
+    rows = [(g, *map(float, v)) for g, x in groups.items() for v in x]
+    good = spark.createDataFrame(rows, "group string, x0 double, x1 double, x2 double, x3 double, x4 double")
+    got = {r.group: r.log_det for r in quality._least_determinant(good, 0.75, lambda df: df).collect()}
+    for g, x in groups.items():
+        want = min(np.linalg.slogdet(estimate(x, list(keep), 0.75)[1])[1] for keep in itertools.combinations(range(12), 9))
+        assert got[g] == pytest.approx(want, abs=1e-8)
+
+
+@pytest.mark.parametrize("bracket", [20_000, 40])
+def test_closest_is_exact(spark, monkeypatch, bracket):
+    """The order statistic, ties included, however often it is bracketed."""
+    monkeypatch.setattr(quality, "BRACKET", bracket)
+    rng = np.random.default_rng(2)
+    d2 = {("a", "s"): rng.chisquare(5, 40_000), ("a", "t"): rng.integers(0, 5, 30_000).astype(float), ("b", "s"): rng.chisquare(5, 3), ("c", "s"): np.zeros(1)}
+    rows = [(g, s, float(v)) for (g, s), x in d2.items() for v in x]
+    near = spark.createDataFrame(rows, "group string, start string, d2 double").repartition(3)
+    got = {(r.group, r.start): (r.n, r.top) for r in quality._closest(near, 0.75, 40_000, lambda df: df).groupBy("group", "start").agg(F.count("*").alias("n"), F.max("d2").alias("top")).collect()}
+    for k, x in d2.items():
+        edge = np.sort(x)[int(np.ceil(len(x) * 0.75)) - 1]
+        assert got[k] == ((x <= edge).sum(), edge)
 
 
 def test_empty_table(spark):
