@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import Words, buffers, word_hashes, words_of
-from .common import bounded_sample, stored
+from .common import bounded_sample, frozen, stored
 
 #: Labelled rows that words are counted on, and rows of each label that the field is fitted on, at most about.
 LEXICON_ROWS, FIELD_ROWS = 20_000, 1_000
@@ -19,8 +19,12 @@ LEXICON_ROWS, FIELD_ROWS = 20_000, 1_000
 STARTS = (0, 4, 5, 6, 7, 8)
 #: Words and starts with weights of their own; toxic rows that one needs; share of toxic rows from which it marks a token.
 VOCABULARY, LEAST_ROWS, PURITY = 4000, 3, 0.6
-#: Words of a training sequence, steps of the fit, and the penalty of squared weights.
-CHUNK, STEPS, PENALTY = 64, 60, 1e-4
+#: Words of a training sequence, and the penalty of squared weights.
+CHUNK, PENALTY = 64, 1e-4
+#: The gradient's length, as a share of its first one, at which the fit has converged, and steps after which it ends anyway.
+CONVERGED, MOST_STEPS = 1e-4, 500
+#: Steps that the fit remembers.
+MEMORY = 8
 #: Bytes of text handled at once (a longer text is handled alone).
 SLICE = 4 << 20
 #: Marginal probability from which a word belongs to an offending span.
@@ -116,8 +120,9 @@ def marginals(potentials: np.ndarray, first: np.ndarray, transitions: np.ndarray
     return toxic, pair
 
 
-def fit_field(model: ToxicityModel, ids: np.ndarray, toxic: np.ndarray, first: np.ndarray, steps: int = STEPS) -> None:
-    """Sets the field's weights to a maximum of the labelled words' conditional likelihood, less a penalty (Adam)."""
+def fit_field(model: ToxicityModel, ids: np.ndarray, toxic: np.ndarray, first: np.ndarray, most: int = MOST_STEPS) -> int:
+    """Sets the field's weights to the maximum of the labelled words' conditional likelihood, less a penalty, which is
+    concave: limited-memory quasi-Newton steps until the gradient is gone. Returns the number of steps."""
     k = len(model.words) + 1
     before, after = _neighbours(ids[0], first)
     begins, lasts = _ends(first)
@@ -126,18 +131,50 @@ def fit_field(model: ToxicityModel, ids: np.ndarray, toxic: np.ndarray, first: n
     # Steps from and to the clean states around each sequence are steps like others.
     around = lambda p: np.array([2 * len(begins) - p[begins].sum() - p[lasts].sum(), p[begins].sum(), p[lasts].sum(), 0])
     steps_seen = np.bincount((2 * np.roll(toxic, 1) + toxic)[inner].astype(int), minlength=4) + around(toxic)
-    weights = np.concatenate((model.emissions.ravel(), [model.bias], model.transitions.ravel()))
-    m, v = np.zeros_like(weights), np.zeros_like(weights)
-    for t in range(1, steps + 1):
+
+    def set_weights(weights: np.ndarray) -> None:
         model.emissions, model.bias, model.transitions = weights[: 3 * k].reshape(3, k), float(weights[3 * k]), weights[3 * k + 1 :].reshape(2, 2)
+
+    def gradient_at(weights: np.ndarray) -> np.ndarray:
+        set_weights(weights)
         p, pair = marginals(model.potentials(ids, first), first, model.transitions)
         error = toxic - p
-        gradient = np.concatenate([sum(np.bincount(x, error, minlength=k) for x in ids), *(np.bincount(x, error, minlength=k) for x in (before, after)), [error.sum()], steps_seen - pair.sum(axis=0) - around(p)]) / max(1, len(first) - 1)
-        gradient[[0, k, 2 * k]] = 0  # the bias stands for words without a weight
-        gradient -= PENALTY * weights
-        m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
-        weights = weights + 0.2 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    model.emissions, model.bias, model.transitions = weights[: 3 * k].reshape(3, k), float(weights[3 * k]), weights[3 * k + 1 :].reshape(2, 2)
+        out = np.concatenate([sum(np.bincount(x, error, minlength=k) for x in ids), *(np.bincount(x, error, minlength=k) for x in (before, after)), [error.sum()], steps_seen - pair.sum(axis=0) - around(p)]) / max(1, len(first) - 1)
+        out[[0, k, 2 * k]] = 0  # the bias stands for words without a weight
+        return out - PENALTY * weights
+
+    weights = np.concatenate((model.emissions.ravel(), [model.bias], model.transitions.ravel()))
+    gradient = gradient_at(weights)
+    enough, past, step = CONVERGED * np.linalg.norm(gradient), [], 0
+    while step < most and np.linalg.norm(gradient) > enough:
+        direction = _quasi_newton(gradient, past)
+        slope, length = gradient @ direction, 1.0 if past else 1 / max(1.0, np.linalg.norm(gradient))
+        for _ in range(20):  # the slope along the direction falls; a step must not go far beyond where it is zero
+            moved = weights + length * direction
+            new = gradient_at(moved)
+            step, end = step + 1, new @ direction
+            if end >= -0.5 * slope:
+                break
+            length *= slope / (slope - end)
+        past = [*past[-MEMORY + 1 :], (moved - weights, gradient - new)]
+        weights, gradient = moved, new
+    set_weights(weights)
+    return step
+
+
+def _quasi_newton(gradient: np.ndarray, past: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The direction of ascent by the two-loop recursion over past (moves, falls of the gradient)."""
+    past = [(s, y) for s, y in past if s @ y > 1e-12]
+    direction, rates = gradient.copy(), []
+    for s, y in reversed(past):
+        rates.append((s @ direction) / (s @ y))
+        direction -= rates[-1] * y
+    if past:
+        s, y = past[-1]
+        direction *= (s @ y) / (y @ y)
+    for (s, y), rate in zip(past, reversed(rates)):
+        direction += (rate - (y @ direction) / (s @ y)) * s
+    return direction
 
 
 def _summary(p: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -193,57 +230,76 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(h[starts].view(np.int64)), pa.array(np.add.reduceat(toxic, starts)), pa.array(np.diff(np.append(starts, len(h))))], names=["word", "toxic", "n"])
 
 
-def fit(labelled: DataFrame, lexicon_rows: int = LEXICON_ROWS, field_rows: int = FIELD_ROWS) -> ToxicityModel:
-    """Learns from (doc_id, text, label 0 or 1). No one labelled words, so a word of a toxic row is a toxic token if most
-    rows that hold it, or one of its starts, are toxic; all other words are clean. The field learns from these tokens and their neighbours, and
-    a logistic model from the rows' marginals to their labels.
+def _ids_of(words: np.ndarray):
+    """(label, n, ids) of rows (text, label): the features of a text's words as numbers of the lexicon's, STARTS by STARTS."""
 
-    Words are counted over at most about `lexicon_rows` rows, field and logistic model are fitted on at most about
-    `field_rows` of each label; rows are chosen by a hash of doc_id. With one label only, the score is its smoothed share.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = ToxicityModel(words=words)
+        for batch in batches:
+            for a, b, _, found, own in _parts(batch.column("text")):
+                ids = model.ids(own.ravel()).reshape(own.shape).astype("<u2")
+                lengths = np.diff(found.first)
+                made = [ids[:, s:e].tobytes() for s, e in zip(found.first[:-1].tolist(), found.first[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column("label").slice(a, b - a), pa.array(lengths), pa.array(made, pa.binary())], names=["label", "n", "ids"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, lexicon_rows: int = LEXICON_ROWS, field_rows: int = FIELD_ROWS) -> ToxicityModel:
+    """Learns from docs (doc_id, text) and labels (doc_id, label 0 or 1). No one labelled words, so a word of a toxic row is
+    a toxic token if most rows that hold it, or one of its starts, are toxic, each label counted as often as the table has
+    it; all other words are clean. The field learns from these tokens and their neighbours, and a logistic model from the
+    rows' marginals to their labels.
+
+    Words are counted over at most about half of `lexicon_rows` rows of each label, and field and logistic model fitted on at
+    most about `field_rows` of each; rows are chosen by a hash, from the narrow labels, before a text is read. Tasks turn
+    texts into numbers, so the driver holds two bytes a feature. Of several labels of a doc_id the largest counts; null ones
+    and rows without a doc_id are left out; null texts are empty. With one label only, or none, the score is its smoothed
+    share.
     """
-    rows = labelled.where("label is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("long").alias("label"))
-    totals = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    labels = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("label").cast("long")).alias("label"))
+    totals = {r.label: r["count"] for r in labels.groupBy("label").count().collect()}
     if set(totals) != {0, 1}:
         share = np.log((totals.get(1, 0) + 1) / (totals.get(0, 0) + 1))
         return ToxicityModel(document=np.array([share, 0.0, 0.0, 0.0]))
-    some = stored(bounded_sample(rows, "doc_id", lexicon_rows, n=sum(totals.values())))  # read three times below
+    each = [bounded_sample(labels.where(F.col("label") == x), "doc_id", lexicon_rows // 2, n=totals[x]) for x in (0, 1)]
+    chosen = frozen(each[0].union(each[1]))  # about lexicon_rows narrow rows at most: small enough to broadcast
+    some = stored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id"))  # read three times below
     counts = some.mapInArrow(_count_words, "word long, toxic long, n long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    found = {r.label: r["count"] for r in some.groupBy("label").count().collect()}
+    if set(found) != {0, 1}:
+        return ToxicityModel(document=np.array([np.log((totals[1] + 1) / (totals[0] + 1)), 0.0, 0.0, 0.0]))
     base = totals[1] / (totals[0] + totals[1])
-    purity = (F.col("toxic") + base) / (F.col("n") + 1)
+    bad_rows, clean_rows = F.col("toxic") * (totals[1] / found[1]), (F.col("n") - F.col("toxic")) * (totals[0] / found[0])
+    purity, weight = (bad_rows + base) / (bad_rows + clean_rows + 1), bad_rows + clean_rows
     # Words that speak for toxic rows have weights of their own; all others share one, which so is that of unseen words.
-    known = counts.where(F.col("toxic") >= LEAST_ROWS).withColumn("purity", purity).where(F.col("purity") > 1.5 * base).withColumn("gain", F.sqrt("n") * F.abs(F.log(F.col("purity") / base)))
+    known = counts.where(F.col("toxic") >= LEAST_ROWS).withColumns({"purity": purity, "weight": weight}).where(F.col("purity") > 1.5 * base).withColumn("gain", F.sqrt("weight") * F.abs(F.log(F.col("purity") / base)))
     known = known.orderBy(F.desc("gain"), "word").limit(VOCABULARY).collect()
     hashes = np.array([r.word for r in known], dtype=np.int64).view(np.uint64)
     order = np.argsort(hashes)
     model = ToxicityModel(words=hashes[order])
     bad = np.concatenate(([False], np.array([r.purity for r in known], dtype=float)[order] >= PURITY))
     model.emissions = np.zeros((3, len(hashes) + 1))
-    text, labels = [], []
-    for label in (0, 1):
-        own = bounded_sample(some.where(F.col("label") == label), "doc_id", field_rows, "field").select("text").collect()  # bounded
-        text += [r.text for r in own]
-        labels += [label] * len(own)
-    labels = np.array(labels)
-    ids, first = [], [0]
-    for a, b, _, words, own in _parts(pa.array(text, pa.large_string())):
-        ids.append(model.ids(own.ravel()).reshape(own.shape))
-        first += (words.first[1:] + first[-1]).tolist()
-    ids, first = np.concatenate(ids, axis=1), np.array(first)
-    toxic = bad[ids].any(axis=0) & (np.repeat(labels, np.diff(first)) == 1)
+    field_sample = [bounded_sample(some.where(F.col("label") == x).select("doc_id", "text", "label"), "doc_id", field_rows, "field", n=found[x]) for x in (0, 1)]
+    rows = field_sample[0].union(field_sample[1]).select("text", "label").mapInArrow(_ids_of(model.words), "label long, n long, ids binary").toArrow()  # bounded
+    labels_of, lengths = rows.column("label").to_numpy(), rows.column("n").to_numpy()
+    ids = np.concatenate([np.frombuffer(x.as_buffer(), "<u2").reshape(len(STARTS), -1) for x in rows.column("ids")], axis=1).astype(np.int32)
+    first = np.concatenate(([0], np.cumsum(lengths)))
+    toxic = bad[ids].any(axis=0) & (np.repeat(labels_of, lengths) == 1)
     # Training sequences are pieces of the texts, of one length at most.
     cuts = np.unique(np.concatenate([first, *(np.arange(s, e, CHUNK) for s, e in zip(first[:-1], first[1:]))]))
     fit_field(model, ids, toxic.astype(float), cuts)
     p, _ = marginals(model.potentials(ids, first), first, model.transitions)
     # Both labels were sampled alone: their weights bring back their shares.
-    model.document = fit_logistic(_summary(p, first), labels.astype(float))
-    shift = np.log(max((labels == 0).sum(), 1) / max((labels == 1).sum(), 1)) + np.log(totals[1] / totals[0])
-    model.document[0] += shift
+    model.document = fit_logistic(_summary(p, first), labels_of.astype(float))
+    model.document[0] += np.log(max((labels_of == 0).sum(), 1) / max((labels_of == 1).sum(), 1)) + np.log(totals[1] / totals[0])
     return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """(doc_id, score, spans) for each document, null texts as empty: the probability that it is toxic, and its offending
-    spans (start, end, p) in code points, end exclusive: runs of words whose marginals reach TOXIC, p being the largest."""
+    spans (start, end, p) in code points, end exclusive: runs of words whose marginals reach TOXIC (the value itself too), p
+    being the largest. Repeated rows count each; an empty table gives none; other columns are left out."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])
 

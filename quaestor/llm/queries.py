@@ -40,8 +40,8 @@ def _learn() -> Column:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").where("doc_id is not null and toxic is not null").where(_learn()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    found = crf.score_toxicity(docs, crf.fit(docs.join(labels, "doc_id")))
+    labels = table(spark, sf_dir, "labels").where(_learn()).select("doc_id", F.col("toxic").alias("label"))
+    found = crf.score_toxicity(docs, crf.fit(docs, labels))
     return found.select("doc_id", (~_learn()).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 

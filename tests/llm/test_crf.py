@@ -55,10 +55,15 @@ def rows_of(rng, n, at=0):
     return rows
 
 
+def fitted(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA)
+    return crf.fit(df, df)
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     rows = rows_of(random.Random(3), 600) + [(9000, None, 0, None, None), (9001, "", 0, None, None), (9002, "alpha", None, None, None)]
-    return crf.fit(spark.createDataFrame(rows, SCHEMA))
+    return fitted(spark, rows)
 
 
 def test_held_out_rows_and_spans(spark, model, monkeypatch):
@@ -84,7 +89,7 @@ def test_one_label_and_empty_tables(spark, model):
     none = spark.createDataFrame([], SCHEMA)
     assert crf.score_toxicity(none, model).collect() == []
     for rows, want in (([], 0.5), ([(i, "alpha", 0, None, None) for i in range(8)], 0.1)):
-        flat = crf.fit(spark.createDataFrame(rows, SCHEMA))
+        flat = fitted(spark, rows)
         (r,) = crf.score_toxicity(spark.createDataFrame([(1, "idiot", None, None, None)], SCHEMA), flat).collect()
         assert r.score == pytest.approx(want) and r.spans == []
 
@@ -98,5 +103,31 @@ def test_all_rows_below_the_bound_give_weights(spark):
         if i % 2:
             words.insert(rng.randrange(12), rare[i // 2 % 300])
         rows.append((i, " ".join(words), i % 2, None, None))
-    model = crf.fit(spark.createDataFrame(rows, SCHEMA))
+    model = fitted(spark, rows)
     assert len(model.words) > 300 and (model.emissions[0, 1:] != 0).all()
+
+
+def test_fit_converges(spark):
+    """At the end the gradient is gone, and other starts lead to the same marginals; the steps stay below their bound."""
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 30, (len(crf.STARTS), 4000)).astype(np.int32)
+    toxic, first = (np.isin(ids[0], [3, 4, 5]) ^ (rng.random(4000) < 0.05)).astype(float), np.arange(0, 4001, 40)
+    made = []
+    for start in (0.0, 0.7):
+        model = crf.ToxicityModel(words=np.arange(29, dtype=np.uint64), emissions=np.full((3, 30), start))
+        model.emissions[:, 0] = 0
+        steps = crf.fit_field(model, ids, toxic, first)
+        assert steps < crf.MOST_STEPS
+        made.append(crf.marginals(model.potentials(ids, first), first, model.transitions)[0])
+    assert np.abs(made[0] - made[1]).max() < 0.02 and made[0][toxic == 1].mean() > made[0][toxic == 0].mean() + 0.5
+
+
+def test_rare_toxic_rows(spark):
+    """Labels are sampled each for itself: 40 toxic rows of 8,000 give weights though the bound is 400 rows."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices(CLEAN, k=20) + (["scum"] if i % 200 == 0 else [])), int(i % 200 == 0), None, None) for i in range(8000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = crf.fit(df, df, lexicon_rows=400, field_rows=100)
+    assert len(model.words)
+    got = {r.doc_id: r.score for r in crf.score_toxicity(spark.createDataFrame(rows[:400], SCHEMA), model).collect()}
+    assert min(got[i] for i in (0, 200)) > max(v for i, v in got.items() if i % 200)
