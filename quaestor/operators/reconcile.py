@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import text
+from ..plans.spec import CHECK, finding, let
+
 KEYS = ("species", "strain", "sex", "genetic_status")
 
 
@@ -35,24 +40,34 @@ def simplified_mismatches(totals: DataFrame, details: DataFrame, key: str = "pro
     return both.where("n_total <> n_details")
 
 
-def totals_findings(protocols: DataFrame, experiments: DataFrame) -> DataFrame:
-    """One finding for each protocol with totals: it fails if any row mismatches, by the mode that its totals call for."""
-    totals = protocols.select("protocol_id", F.inline("animals_total"))
-    details = experiments.select("protocol_id", *[F.col(f"e.animals.{k}").alias(k) for k in KEYS], F.col("e.animals.n").alias("n"))
-    modes = simplified(totals)
-
-    def of_mode(df: DataFrame, wanted: bool) -> DataFrame:
-        return df.join(modes.where(F.col("simplified") == F.lit(wanted)).select("protocol_id"), "protocol_id", "left_semi")
-
-    part = F.concat_ws(" ", *[F.col(k) for k in KEYS])
-    line: Column = F.concat(F.trim("name"), F.lit(": total "), F.col("n_total").cast("string"), F.lit(", experiments "), F.col("n_details").cast("string"))
-    strict = strict_mismatches(of_mode(totals, False), of_mode(details, False)).select("protocol_id", part.alias("name"), "n_total", "n_details")
-    rough = simplified_mismatches(of_mode(totals, True), of_mode(details, True)).select("protocol_id", F.col("species").alias("name"), "n_total", "n_details")
-    bad = strict.union(rough).groupBy("protocol_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "; ").alias("message"))
-    return modes.join(bad, "protocol_id", "left").select(
-        "protocol_id", F.lit((1 * 100 + 1) * 10**9).alias("seq"), F.lit("animals:totals-vs-exps").alias("ref"), F.when(F.col("message").isNull(), "pass").otherwise("fail").alias("status"),
-        F.lit("error").alias("severity"), F.coalesce("message", F.lit("")).alias("message"),
-    )
+def totals_finding(totals: Column, exps: Column) -> Column:
+    """Within a protocol's row: an array of one finding if it has totals, else of none. It fails if any row mismatches, by the
+    mode that the totals call for; both modes are those of `strict_mismatches` and `simplified_mismatches`."""
+    total = lambda rows, n: F.aggregate(rows, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x[n], F.lit(0)))
+    line = lambda name, n, m: F.concat(F.trim(name), F.lit(": total "), n.cast("string"), F.lit(", experiments "), m.cast("string"))
+    known = F.filter(F.transform(exps, lambda x: F.struct(*[x["e"]["animals"][k].alias(k) for k in (*KEYS, "n")])), lambda d: reduce(lambda a, b: a & b, [d[k].isNotNull() for k in KEYS]))
+    rough = F.exists(totals, lambda t: ((text(t["strain"]) == "") & (text(t["genetic_status"]) == "")) | F.coalesce(t["strain"].contains(","), F.lit(False)))
+
+    def strict(details: Column) -> Column:
+        def one(t: Column) -> Column:
+            n, m = F.coalesce(t["n_total"], F.lit(0)), total(F.filter(details, lambda d: reduce(lambda a, b: a & b, [d[k].eqNullSafe(t[k]) for k in KEYS])), "n")
+            return F.when(n != m, line(F.concat_ws(" ", *[t[k] for k in KEYS]), n, m))
+
+        return F.transform(totals, one)
+
+    def simple(details: Column) -> Column:
+        name = lambda x: F.trim(text(x["species"]))
+        kinds = F.array_distinct(F.concat(F.transform(totals, name), F.transform(details, name)))
+
+        def one(k: Column) -> Column:
+            n, m = total(F.filter(totals, lambda t: name(t) == k), "n_total"), total(F.filter(details, lambda d: name(d) == k), "n")
+            return F.when(n != m, line(k, n, m))
+
+        return F.transform(kinds, one)
+
+    bad = let(known, lambda details: F.when(rough, simple(details)).otherwise(strict(details)))
+    made = let(F.array_sort(F.filter(bad, lambda x: x.isNotNull())), lambda x: finding("animals:totals-vs-exps", F.lit((1 * 100 + 1) * 10**9), F.lit("animals:totals-vs-exps"), F.size(x) == 0, "E", F.array_join(x, "; ")))
+    return F.when(F.coalesce(F.size(totals), F.lit(0)) > 0, F.array(made)).otherwise(F.array().cast(f"array<{CHECK}>"))
 
 
 def backfill(rows: DataFrame, key: str, value: str) -> DataFrame:

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..plans import experiments as ex
 from ..plans import protocols as pr
-from ..plans.spec import PROFILES, run
-from .reconcile import totals_findings
-
-_FINDING = ("protocol_id", "profile", "seq", "ref", "status", "severity", "message")
+from ..plans.spec import PROFILES, checks, compiled, let, profile_of
+from ..schema import protocol_type
+from .reconcile import totals_finding
 
 
 def rule_id(ref: Column) -> Column:
@@ -21,21 +20,30 @@ def rule_id(ref: Column) -> Column:
     return F.when(base.isin(*[r for r, _, _ in dims.RULES]), base)
 
 
+def _all_checks() -> Column:
+    """Of a protocol's row, the findings of all rules, whatever they are about: one array, worked out in one pass."""
+    exps = F.transform(F.coalesce("experiments", F.array().cast(protocol_type()["experiments"].dataType)), ex.derived)
+    about_experiments = lambda all_exps: F.flatten(F.transform(all_exps, lambda x, i: checks(ex.experiment_rules(x), i + 1)))
+    people = F.transform(F.coalesce("participants", F.array().cast(protocol_type()["participants"].dataType)), lambda p, i: F.transform(checks(pr.participant_rules(p)), lambda c: c.withField("seq", c["seq"] + (i.cast("long") + 1) * 1000)))
+    whole = let(pr.texts(), lambda x: checks(pr.protocol_rules(x)))
+    return let(exps, lambda all_exps: F.concat(whole, F.flatten(people), about_experiments(all_exps), pr.survivors(all_exps), totals_finding(F.col("animals_total"), all_exps)))
+
+
+def with_checks(protocols: DataFrame, profiles: tuple[str, ...] = PROFILES) -> DataFrame:
+    """(protocol_id, profile, checks): a row for each protocol and profile, with its findings (seq, ref, status, severity,
+    message, rule_id). One scan, no join and no shuffle; rules are checked once for all profiles. Unknown profiles count as
+    the default one."""
+    made = protocols.select("protocol_id", compiled(protocols.sparkSession, "checks", _all_checks).alias("_all"))
+    profiles = tuple(dict.fromkeys(map(profile_of, profiles)))
+    rows = made.select("protocol_id", "_all", F.explode(F.array(*map(F.lit, profiles))).alias("profile"))
+    chosen = F.transform("_all", lambda x: F.struct(x["seq"], x["ref"], x["status"], F.when(F.col("profile") == "strict_law", x["strict_law"]).otherwise(x["default"]).alias("severity"), x["message"], x["rule_id"]))
+    return rows.select("protocol_id", "profile", chosen.alias("checks"))
+
+
 def findings(protocols: DataFrame, profiles: tuple[str, ...] = PROFILES) -> DataFrame:
     """(protocol_id, profile, seq, ref, status, severity, message, rule_id) of all rules. `seq` puts a protocol's rows in
-    order; rows may share a reference. Each grain is one scan with one array of checks."""
-    rows = ex.experiments(protocols)
-    parts = [
-        run(pr.with_texts(protocols), pr.protocol_rules, profiles, ["protocol_id"]),
-        run(pr.participants(protocols), pr.participant_rules, profiles, ["protocol_id"], "part_idx"),
-        run(rows, ex.experiment_rules, profiles, ["protocol_id"], "exp_idx"),
-    ]
-    for grouped in (pr.multiple_survival(rows), totals_findings(protocols, rows)):
-        parts.append(grouped.withColumn("profile", F.explode(F.array(*map(F.lit, profiles)))))
-    whole = parts[0].select(*_FINDING)
-    for p in parts[1:]:
-        whole = whole.union(p.select(*_FINDING))
-    return whole.withColumn("rule_id", rule_id(F.col("ref")))
+    order; rows may share a reference."""
+    return with_checks(protocols, profiles).select("protocol_id", "profile", F.inline("checks"))
 
 
 def annotate(found: DataFrame) -> DataFrame:
@@ -50,32 +58,25 @@ def in_pack(found: DataFrame, pack: str = dims.DEFAULT_PACK) -> DataFrame:
     return found.where(F.col("jurisdiction").isNull() | F.col("jurisdiction").isin(*jurisdictions))
 
 
-def _count(condition: Column) -> Column:
-    return F.count_if(F.coalesce(condition, F.lit(False)))
-
-
-def counters(failed: Column, severity: Column, kind: Column) -> list[Column]:
-    """Errors and warnings; by category, structural and law-critical rows count as errors, advisory ones as no errors."""
-    error = failed & (severity == "error")
-    return [
-        _count(error).alias("errors"), _count(failed & (severity != "error")).alias("warnings"), _count(error & (kind == "structural")).alias("structural_errors"),
-        _count(error & (kind == "law_critical")).alias("law_critical_errors"), _count(failed & (severity != "error") & (kind == "advisory")).alias("advisory_warnings"),
-    ]
-
-
-def reports(protocols: DataFrame, found: DataFrame, pack: str = dims.DEFAULT_PACK, profiles: tuple[str, ...] = PROFILES) -> DataFrame:
-    """One row for each protocol and profile: status, counters, the ordered checklist and rules left out by the pack."""
-    rows = annotate(found)
-    kept = in_pack(rows, pack)
-    made = kept.groupBy("protocol_id", "profile").agg(
-        *counters(F.col("status") == "fail", F.col("severity"), F.col("rule_kind")),
-        F.array_sort(F.collect_list(F.struct("seq", "status", "message", "severity", "ref", "rule_id", "rule_kind"))).alias("checklist"),
-    )
-    every = protocols.select("protocol_id", F.explode(F.array(*map(F.lit, profiles))).alias("profile"))
-    made = every.join(made, ["protocol_id", "profile"], "left").fillna(0, ["errors", "warnings", "structural_errors", "law_critical_errors", "advisory_warnings"])
-    used = set(dims.PACKS.get(pack, dims.PACKS[dims.DEFAULT_PACK])[0])
-    outside = sum(j not in used for _, _, j in dims.RULES)
-    return made.withColumn("status", F.when(F.col("errors") == 0, "pass").otherwise("fail")).withColumns({"jurisdiction": F.lit(pack if pack in dims.PACKS else dims.DEFAULT_PACK), "ruleset_version": F.lit(dims.RULESET_VERSION), "rules_outside_pack": F.lit(outside)})
+def reports(protocols: DataFrame, pack: str = dims.DEFAULT_PACK, profiles: tuple[str, ...] = PROFILES) -> DataFrame:
+    """One row for each protocol and profile: status, counters, the ordered checklist and rules left out by the pack. All is
+    worked out within the protocol's row."""
+    pack = pack if pack in dims.PACKS else dims.DEFAULT_PACK
+    used = dims.PACKS[pack][0]
+    kind = F.create_map(*[F.lit(x) for r, k, _ in dims.RULES for x in (r, k)])
+    outside = [r for r, _, j in dims.RULES if j not in used]
+    kept = F.filter("checks", lambda x: ~F.coalesce(x["rule_id"].isin(*outside), F.lit(False))) if outside else F.col("checks")
+    listed = F.array_sort(F.transform(kept, lambda x: F.struct(x["seq"], x["status"], x["message"], x["severity"], x["ref"], x["rule_id"], F.element_at(kind, x["rule_id"]).alias("rule_kind"))))
+    rows = with_checks(protocols, profiles).select("protocol_id", "profile", listed.alias("checklist"))
+    error = lambda x: (x["status"] == "fail") & (x["severity"] == "error")
+    warned = lambda x: (x["status"] == "fail") & (x["severity"] != "error")
+    # By category, structural and law-critical rows count as errors, advisory ones as no errors.
+    tests = {
+        "errors": error, "warnings": warned, "structural_errors": lambda x: error(x) & (x["rule_kind"] == "structural"), "law_critical_errors": lambda x: error(x) & (x["rule_kind"] == "law_critical"),
+        "advisory_warnings": lambda x: warned(x) & (x["rule_kind"] == "advisory"),
+    }
+    made = rows.select("*", *[F.size(F.filter("checklist", test)).cast("long").alias(name) for name, test in tests.items()])
+    return made.withColumns({"status": F.when(F.col("errors") == 0, "pass").otherwise("fail"), "jurisdiction": F.lit(pack), "ruleset_version": F.lit(dims.RULESET_VERSION), "rules_outside_pack": F.lit(len(outside))})
 
 
 def base_refs(found: DataFrame) -> DataFrame:
@@ -115,4 +116,4 @@ def with_prefixes(found: DataFrame, prefixes: list[str]) -> DataFrame:
 def lint(protocols: DataFrame, profiles: tuple[str, ...] = PROFILES, pack: str = dims.DEFAULT_PACK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(findings, reports, signals) of protocols."""
     found = findings(protocols, profiles)
-    return found, reports(protocols, found, pack, profiles), ex.signals(ex.experiments(protocols))
+    return found, reports(protocols, pack, profiles), ex.signals(ex.experiments(protocols))

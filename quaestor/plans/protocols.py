@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..dims import KEYWORDS
 from ..functions.text import contains_any, filled, joined, text, word_count
-from ..schema import REQUIRED
-from .spec import Rule
+from ..schema import REQUIRED, protocol_type
+from .spec import CHECK, Rule, finding, let
 
 K = KEYWORDS
 SCIENTIFIC_WORDS, LAY_WORDS = 2500, 150
@@ -24,40 +25,58 @@ def _any(array: Column, test) -> Column:
     return F.coalesce(F.exists(array, test), F.lit(False))
 
 
-def with_texts(protocols: DataFrame) -> DataFrame:
-    """Protocols with the texts and sums that protocol rules share."""
+def _everything() -> Column:
+    """The values of the blocks in which products are looked for, as one text of their leaves."""
+    return F.array_join(F.filter(F.concat(*[_leaves(b) for b in ("research", "summaries", "n_justification", "experiments")]), lambda x: x != ""), " ")
+
+
+def _leaves(block: str) -> Column:
+    return F.coalesce(leaf_texts(F.col(block), protocol_type()[block].dataType), F.array().cast("array<string>"))
+
+
+def leaf_texts(value: Column, kind: T.DataType) -> Column:
+    """The texts of a nested value, in order: an array of strings."""
+    none = F.array().cast("array<string>")
+    if isinstance(kind, T.StructType):
+        return F.concat(*[F.coalesce(leaf_texts(value[f.name], f.dataType), none) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return F.flatten(F.transform(F.coalesce(value, F.array().cast(kind)), lambda v: F.coalesce(leaf_texts(v, kind.elementType), none)))
+    if isinstance(kind, T.MapType):
+        return F.map_values(value).cast("array<string>")
+    return F.array(F.coalesce(value.cast("string"), F.lit("")))
+
+
+def texts() -> Column:
+    """The texts and sums that protocol rules share, as one struct."""
     exps, research = F.col("experiments"), F.col("research")
-    steps = F.transform(F.flatten(F.transform(exps, lambda e: F.coalesce(e["procedure_timeline"], F.expr("cast(array() as array<struct<day_or_timepoint:string,step:string,route_or_site:string,volume_or_dose:string,device_or_material:string>>)")))), lambda s: s["step"])
+    steps = F.flatten(F.transform(exps, lambda e: F.coalesce(F.transform(e["procedure_timeline"], lambda s: s["step"]), F.array().cast("array<string>"))))
     alternatives = F.col("alternatives_search")
-    everything = F.concat_ws(
-        " ", F.to_json("research"), F.to_json("summaries"), F.to_json("n_justification"), F.to_json("experiments")
-    )
-    return protocols.withColumns(
-        {
-            "titles": F.lower(F.concat(text(research["title_he"]), F.lit(" "), text(research["title_en"]))),
-            "request_type": research["request_type"],
-            "n_exps": F.coalesce(F.size("experiments"), F.lit(0)),
-            "has_totals": F.coalesce(F.size("animals_total"), F.lit(0)) > 0,
-            "total_n": F.coalesce(F.aggregate("animals_total", F.lit(0).cast("long"), lambda a, t: a + F.coalesce(t["n_total"], F.lit(0))), F.lit(0)),
-            "sexes": F.array_sort(F.array_distinct(F.filter(_strings(F.transform(exps, lambda e: e["animals"]["sex"])), lambda x: text(x) != ""))),
-            "rationale": F.lower(joined(F.transform(exps, lambda e: F.trim(text(e["rationale_species_strain_sex"]))))),
-            "colony": F.coalesce("is_colony", F.lit(False)),
-            "all_steps": F.lower(joined(steps)),
-            "all_text": F.regexp_replace(F.lower(F.coalesce(everything, F.lit(""))), _NO_COSMETIC, " "),
-            "no_alternatives": (F.size(_strings(alternatives["engines"])) == 0) & (F.size(_strings(alternatives["queries"])) == 0) & ~filled(alternatives["conclusion"]) | alternatives.isNull(),
-        }
-    )
-
-
-def protocol_rules() -> list[Rule]:
-    """The rules of protocol grain over the columns of `with_texts`."""
-    c, no = F.col, F.lit(False)
+    made = {
+        "titles": F.lower(F.concat(text(research["title_he"]), F.lit(" "), text(research["title_en"]))),
+        "request_type": research["request_type"],
+        "n_exps": F.coalesce(F.size("experiments"), F.lit(0)),
+        "has_totals": F.coalesce(F.size("animals_total"), F.lit(0)) > 0,
+        "total_n": F.coalesce(F.aggregate("animals_total", F.lit(0).cast("long"), lambda a, t: a + F.coalesce(t["n_total"], F.lit(0))), F.lit(0)),
+        "sexes": F.array_sort(F.array_distinct(F.filter(_strings(F.transform(exps, lambda e: e["animals"]["sex"])), lambda x: text(x) != ""))),
+        "rationale": F.lower(joined(F.transform(exps, lambda e: F.trim(text(e["rationale_species_strain_sex"]))))),
+        "colony": F.coalesce("is_colony", F.lit(False)),
+        "all_steps": F.lower(joined(steps)),
+        "all_text": F.regexp_replace(F.lower(_everything()), _NO_COSMETIC, " "),
+        "no_alternatives": (F.size(_strings(alternatives["engines"])) == 0) & (F.size(_strings(alternatives["queries"])) == 0) & ~filled(alternatives["conclusion"]) | alternatives.isNull(),
+    }
+    return F.struct(*[x.alias(name) for name, x in made.items()])
+
+
+def protocol_rules(x: Column) -> list[Rule]:
+    """The rules about a whole protocol; `x` is the struct of `texts`."""
+    made = ("titles", "request_type", "n_exps", "has_totals", "total_n", "sexes", "rationale", "colony", "all_steps", "all_text", "no_alternatives")
+    c, no = (lambda name: x[name] if name in made else F.col(name)), F.lit(False)
     research, third = c("research"), c("third_party")
     lacks = lambda key: F.array_contains("missing_keys", key)
     pilot, term = contains_any(c("titles"), K["pilot"]), research["approval_term_years"]
     typed = text(c("request_type")) != ""
     in_range = term.between(1, 4)
-    single = (F.size("sexes") == 1) & F.get("sexes", F.lit(0)).isin("M", "F")
+    single = (F.size(c("sexes")) == 1) & F.get(c("sexes"), F.lit(0)).isin("M", "F")
     details = F.trim(text(c("n_justification")["details"]))
     numbers = F.lower(F.concat(text(c("n_justification")["method"]), F.lit(" "), details))
     alternatives = c("alternatives_search")
@@ -78,7 +97,7 @@ def protocol_rules() -> list[Rule]:
         Rule("pi:training", (0, 62, 0), c("pi").isNotNull(), F.coalesce(F.size(c("pi")["training"]), F.lit(0)) > 0, "E", "No training of the principal investigator", True),
         Rule("scope:pilot-size", (1, 2, 0), (c("request_type") == "pilot") & c("has_totals"), (c("total_n") <= 500) & (c("n_exps") <= 5), "W", "The pilot is large"),
         Rule("sex:rationale", (1, 3, 0), single, contains_any(c("rationale"), K["sex"]), "W", "A single sex without rationale"),
-        Rule("sex:sabv", (1, 4, 0), single, (F.trim("rationale") != "") & ~contains_any(c("rationale"), K["sabv_convenience"]) & contains_any(c("rationale"), K["sabv_scientific"]), "W", "Sex as a biological variable is not considered"),
+        Rule("sex:sabv", (1, 4, 0), single, (F.trim(c("rationale")) != "") & ~contains_any(c("rationale"), K["sabv_convenience"]) & contains_any(c("rationale"), K["sabv_scientific"]), "W", "Sex as a biological variable is not considered"),
         Rule("N:justification-detail", (1, 5, 0), c("total_n") >= 500, F.length(details) >= 80, "W", "Little justification for many animals"),
         Rule("N:power-analysis", (1, 6, 0), (text(c("request_type")) != "pilot") & (c("total_n") > 50), contains_any(numbers, K["power"]), "W", "No power analysis or precedent"),
         Rule("alts:missing", (4, 0, 0), c("no_alternatives"), no, "W/E", "No search for alternatives"),
@@ -97,13 +116,7 @@ def _within(block: str):
     return lambda key: key.startswith(f"{block}.")
 
 
-def participants(protocols: DataFrame) -> DataFrame:
-    """protocol_id, part_idx from 1, `p`."""
-    return protocols.select("protocol_id", F.posexplode("participants").alias("_pos", "p")).select("protocol_id", (F.col("_pos") + 1).alias("part_idx"), "p")
-
-
-def participant_rules() -> list[Rule]:
-    p = F.col("p")
+def participant_rules(p: Column) -> list[Rule]:
     trained = F.coalesce(F.size(p["training"]), F.lit(0)) > 0
     return [
         Rule("participant:training", (0, 70, 1), p["role"] == "performs_procedures", trained, "E", "No training of a participant", True, ref=F.lit("participant:training")),
@@ -111,12 +124,18 @@ def participant_rules() -> list[Rule]:
     ]
 
 
-def multiple_survival(rows: DataFrame) -> DataFrame:
-    """One finding for each protocol and raw species with more than one experiment that the animals survive."""
-    alive = rows.where(~contains_any(F.col("fate"), ("euthanized", "euthanasia")))
-    groups = alive.groupBy("protocol_id", text(F.col("e.animals.species")).alias("species")).agg(F.array_sort(F.collect_list("exp_idx")).alias("exps"))
-    found = groups.where(F.size("exps") > 1)
-    message = F.concat(F.lit("Multiple survival experiments on "), F.when(F.col("species") == "", "unknown").otherwise(F.col("species")), F.lit(": "), F.array_join(F.transform("exps", lambda x: x.cast("string")), ", "))
-    return found.select(
-        "protocol_id", (F.lit((6 * 100 + 2) * 10**9) + F.element_at("exps", 1).cast("long") * 1000).alias("seq"), F.lit("surgery:multiple-survival").alias("ref"), F.lit("fail").alias("status"), F.lit("warning").alias("severity"), message.alias("message")
-    )
+def survivors(exps: Column) -> Column:
+    """One finding for each raw species with more than one experiment that the animals survive; `exps` are structs of
+    `experiments.derived`."""
+    alive = F.filter(F.transform(exps, lambda x, i: F.struct((i + 1).alias("at"), text(x["e"]["animals"]["species"]).alias("species"), contains_any(x["fate"], ("euthanized", "euthanasia")).alias("dead"))), lambda x: ~x["dead"])
+
+    def one(species: Column, found: Column) -> Column:
+        message = F.concat(F.lit("Multiple survival experiments on "), F.when(species == "", "unknown").otherwise(species), F.lit(": "), F.array_join(found.cast("array<string>"), ", "))
+        seq = F.lit((6 * 100 + 2) * 10**9) + F.element_at(found, 1).cast("long") * 1000
+        return F.when(F.size(found) > 1, finding("surgery:multiple-survival", seq, F.lit("surgery:multiple-survival"), F.lit(False), "W", message))
+
+    def groups(rows: Column) -> Column:
+        kinds = F.array_distinct(F.transform(rows, lambda x: x["species"]))
+        return F.transform(kinds, lambda k: let(F.transform(F.filter(rows, lambda x: x["species"] == k), lambda x: x["at"]), lambda found: one(k, found)))
+
+    return F.filter(F.coalesce(let(alive, groups), F.array().cast(f"array<{CHECK}>")), lambda x: x.isNotNull())

@@ -1,4 +1,4 @@
-"""Rules as declarations, and their compilation to one array of checks for each grain."""
+"""Rules as declarations, and their compilation to one array of findings for each protocol."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 PROFILES = ("default", "strict_law")
@@ -28,51 +28,54 @@ class Rule:
     ref: Column | None = field(default=None)
 
 
-def severity(rule: Rule, profile: Column) -> Column:
-    if isinstance(rule.severity, Column):
-        return rule.severity
-    if rule.severity == "W/E":
-        return F.when(profile == "strict_law", "error").otherwise("warning")
-    return F.lit({"E": "error", "W": "warning"}[rule.severity])
+#: A finding before its profile is chosen; seq puts a protocol's findings in order.
+CHECK = "struct<seq:bigint,ref:string,status:string,default:string,strict_law:string,message:string,rule_id:string>"
 
 
-def checks(rules: list[Rule], profile: Column, place: Column, suffix: Column) -> Column:
-    """Of a row, the findings of all rules: one array, so that one scan serves them all."""
-    made = []
+def severities(kind: str | Column) -> tuple[Column, Column]:
+    """Under the default and the strict profile."""
+    if isinstance(kind, Column):
+        return kind, kind
+    return F.lit({"E": "error", "W": "warning", "W/E": "warning"}[kind]), F.lit({"E": "error", "W": "warning", "W/E": "error"}[kind])
+
+
+def finding(rule_id: str, seq: Column, ref: Column, ok: Column, severity: str | Column, message: Column) -> Column:
+    default, strict = severities(severity)
+    status, said = F.when(ok, "pass").otherwise("fail"), F.when(~ok, message).otherwise("")
+    return F.struct(seq.alias("seq"), ref.alias("ref"), status.alias("status"), default.alias("default"), strict.alias("strict_law"), said.alias("message"), F.lit(rule_id).alias("rule_id"))
+
+
+def checks(rules: list[Rule], place: Column | None = None) -> Column:
+    """The findings of all rules about one thing, as one array. `place` is its number among its like, from 1."""
+    at, suffix, made = F.lit(0) if place is None else place, F.lit("") if place is None else F.concat(F.lit(":exp-"), place.cast("string")), []
     for r in rules:
         block, loop, position = r.order
         ok = F.coalesce(r.ok, F.lit(False))
         shown = F.coalesce(r.applies, F.lit(False)) & (F.lit(True) if r.passes else ~ok)
-        finding = F.struct(
-            (F.lit((block * 100 + loop) * 10**9 + position) + place.cast("long") * 1000).alias("seq"),
-            F.coalesce(r.ref if r.ref is not None else F.concat(F.lit(r.id), suffix)).alias("ref"),
-            F.when(ok, "pass").otherwise("fail").alias("status"),
-            severity(r, profile).alias("severity"),
-            F.when(~ok, r.message if isinstance(r.message, Column) else F.lit(r.message)).otherwise("").alias("message"),
-        )
-        made.append(F.when(shown, finding))
-    return F.filter(F.array(*made), lambda x: x.isNotNull())
-
-
-#: Compiled checks by session, rules and place: columns refer to names only, and making thousands of them takes seconds.
-_COMPILED: WeakKeyDictionary = WeakKeyDictionary()
+        seq = F.lit((block * 100 + loop) * 10**9 + position) + at.cast("long") * 1000
+        ref = r.ref if r.ref is not None else F.concat(F.lit(r.id), suffix)
+        made.append(F.when(shown, finding(r.id, seq, ref, ok, r.severity, r.message if isinstance(r.message, Column) else F.lit(r.message))))
+    if not made:
+        return F.array().cast(f"array<{CHECK}>")
+    return F.filter(F.array(*made), lambda x: x.isNotNull()).cast(f"array<{CHECK}>")
 
 
-def _compiled(session: SparkSession, rules: Callable[[], list[Rule]], place: str | None) -> Column:
-    own = _COMPILED.setdefault(session, {})
-    if (rules, place) not in own:
-        at = F.col(place) if place else F.lit(0)
-        suffix = F.concat(F.lit(":exp-"), at.cast("string")) if place else F.lit("")
-        own[rules, place] = F.inline(checks(rules(), F.col("profile"), at, suffix))
-    return own[rules, place]
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value as a variable, which is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
 
+#: Compiled columns by session and name: they refer to names only, and making thousands of them takes seconds.
+_COMPILED: WeakKeyDictionary = WeakKeyDictionary()
 
-def run(rows: DataFrame, rules: Callable[[], list[Rule]], profiles: tuple[str, ...], keys: list[str], place: str | None = None) -> DataFrame:
-    """(keys..., profile, seq, ref, status, severity, message) of all rules over all rows and profiles."""
-    rows = rows.withColumn("profile", F.explode(F.array(*map(F.lit, profiles)))) if len(profiles) > 1 else rows.withColumn("profile", F.lit(profiles[0]))
-    return rows.select(*keys, "profile", _compiled(rows.sparkSession, rules, place))
+
+def compiled(session: SparkSession, name: object, make: Callable[[], Column]) -> Column:
+    own = _COMPILED.setdefault(session, {})
+    if name not in own:
+        own[name] = make()
+    return own[name]
 
 
-def profile_of(name: Column) -> Column:
+def profile_of(name: str) -> str:
     """Names that are no profile count as the default one."""
-    return F.when(name == "strict_law", name).otherwise("default")
+    return name if name in PROFILES else PROFILES[0]

@@ -54,11 +54,10 @@ def protocols(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.col("method").alias("primary"), F.col("confirm").alias("confirmation"), F.col("params").alias("parameters")).alias("euthanasia"),
         F.struct(F.col("note").alias("documentation")).alias("monitoring"), F.struct(F.array(F.col("he")).alias("general")).alias("humane_endpoints"),
     )
-    rows = turns(spark, sf_dir)
+    whole = turns(spark, sf_dir).groupBy("conv_id").agg(F.sort_array(F.collect_list(e)).alias("experiments"))
     # Totals: one row per species, one animal too many in each seventh protocol.
-    per = rows.groupBy("conv_id", "species").agg((F.sum("n") + F.when(F.col("conv_id") % 7 == 0, 1).otherwise(0)).alias("n_total"))
-    totals = per.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("species", "n_total"))).alias("animals_total"))
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(e)).alias("experiments")).join(totals, "conv_id")
+    sums = F.transform(F.array_sort(F.array_distinct(F.transform("experiments", lambda x: x["animals"]["species"]))), lambda s: F.struct(s.alias("species"), (F.aggregate(F.filter("experiments", lambda x: x["animals"]["species"] == s), F.lit(0), lambda a, x: a + x["animals"]["n"]) + F.when(F.col("conv_id") % 7 == 0, 1).otherwise(0)).alias("n_total")))
+    whole = whole.withColumn("animals_total", sums)
     engines = F.when(F.col("conv_id") % 3 > 0, F.array(F.lit("PubMed")))
     queries = F.when(F.col("conv_id") % 3 == 2, F.array(F.lit("q")))
     alternatives = F.struct(engines.alias("engines"), queries.alias("queries"), F.when(F.col("conv_id") % 3 == 2, "none").alias("conclusion"))
@@ -182,7 +181,7 @@ def findings_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _counters(spark: SparkSession, sf_dir: str, pack: str) -> DataFrame:
     rows = protocols(spark, sf_dir)
-    made = report.reports(rows, report.findings(rows), pack)
+    made = report.reports(rows, pack)
     return made.select("protocol_id", "profile", "status", "errors", "warnings", "structural_errors", "law_critical_errors", "advisory_warnings", F.size("checklist").cast("long").alias("n_rows"))
 
 
@@ -208,7 +207,7 @@ def top_failing_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = protocols(spark, sf_dir)
-    return report.reports(rows, report.findings(rows)).groupBy("profile", "status").agg(F.count("*").alias("n"))
+    return report.reports(rows).groupBy("profile", "status").agg(F.count("*").alias("n"))
 
 
 def top_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,9 +255,8 @@ def totals_simplified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def surviving_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..plans.protocols import multiple_survival
-
-    return multiple_survival(ex.experiments(protocols(spark, sf_dir))).groupBy("protocol_id").agg(F.count("*").alias("n_groups"))
+    found = report.findings(protocols(spark, sf_dir), ("default",)).where("rule_id = 'surgery:multiple-survival'")
+    return found.groupBy("protocol_id").agg(F.count("*").alias("n_groups"))
 
 
 _FAIL = "FROM found WHERE status = 'fail'"

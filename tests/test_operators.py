@@ -167,7 +167,7 @@ def test_ingest_and_write(spark, tmp_path):
     assert {k: r.error for k, r in rows.items()} == {"a.json": None, "b.json": "not JSON", "c.txt": "unknown format", "d.json": "not UTF-8", "e.html": None}
     assert rows["a.json"].header.protocol_id == "1" and "header.institution" in rows["a.json"].missing_keys and "header" not in rows["a.json"].missing_keys
     protocols = protocols_of(spark, [("p<1>", "{}")])
-    made = report.reports(protocols, report.findings(protocols))
+    made = report.reports(protocols)
     ingest.write_reports(made, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
     assert "p&lt;1&gt;" in ingest.render(made).first().html
