@@ -75,7 +75,7 @@ DEFAULT_PACK = "IL"
 
 # Keyword sets, matched on lower-cased text.
 KEYWORDS: dict[str, tuple[str, ...]] = {
-    "pilot": ("pilot", "פיילוט"),
+    "pilot": ("פיילוט", "פילוט", "pilot"),
     "sex": ("sex", "זוויג", "זכרים", "נקבות", "male", "female", "males", "females"),
     "sabv_scientific": ("sex as a biological variable", "biological variable", "sex-specific", "estrous", "oestrous", "horm", "ovar", "testis", "pregnan", "prostate", "ovarian", "uter", "זוויג", "זכרים", "נקבות"),
     "sabv_convenience": ("convenien", "availability", "avoid variability", "less variable", "reduce variability", "easier", "easier handling", "זמינות", "נוחות", "להפחית שונות", "פחות שונות", "קל יותר"),
@@ -157,7 +157,7 @@ SPECIES_METHODS: dict[str, tuple[tuple[str, ...], dict[str, bool], tuple[str, ..
     "zebrafish": (("MS-222", "barbiturate"), {"rapid_chilling": True, "decapitation": True}, ("CO2", "pre-charged_CO2_chamber", "cervical_dislocation")),
     "pig": (("barbiturate", "injectable_overdose"), {"CO2": True, "electrocution": True, "captive_bolt": True, "exsanguination": True, "inhalant_overdose": True}, ("pre-charged_CO2_chamber", "cervical_dislocation", "decapitation")),
 }
-#: CO2 displacement range (% of volume a minute), weight limits (g) of cervical dislocation, neonatal cutoffs (days).
+# CO2 displacement range (% of volume a minute), weight limits (g) of cervical dislocation, neonatal cutoffs (days).
 CO2_RATES = {"mouse": (30, 70), "rat": (30, 70), "guinea_pig": (30, 70), "rabbit": (50, 60), "hamster": (30, 70), "gerbil": (30, 70), "pig": (30, 70)}
 CERVICAL_LIMITS = {"rat": 200.0, "rabbit": 1000.0}
 NEONATAL_DAYS = {"mouse": 10.0, "rat": 10.0}

@@ -51,7 +51,7 @@ def expected_against_actual(expected: DataFrame, actual: DataFrame, key: str) ->
 def unknown_values(cases: DataFrame, key: str, column: str, known: DataFrame, value: str) -> DataFrame:
     """(key, field, value): values of an array column that the dimension does not have."""
     rows = cases.select(key, F.explode(column).alias("value"))
-    return rows.join(F.broadcast(known.select(F.col(value).alias("value"))), "value", "left_anti").select(key, F.lit(column).alias("field"), "value")
+    return rows.join(known.select(F.col(value).alias("value")), "value", "left_anti").select(key, F.lit(column).alias("field"), "value")
 
 
 def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD, snippet
 
 K1, B = 1.5, 0.75
+#: Bytes of the queries that are sent to every task at once, and records that a task scores at once.
+BROADCAST_BYTES, ROWS_AT_ONCE = 64 << 20, 512
 
 
 def tokens(text: Column) -> Column:
@@ -36,51 +44,122 @@ def top_k(scored: DataFrame, query: str, key: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, key: str, text: Column, query: str, query_text: Column, k: int, keep: Column | None = None, broadcast_terms: int = 200_000) -> DataFrame:
-    """(query, key, score, rank): Okapi BM25. Counts, frequencies and the average length are those of the whole corpus,
-    `keep` filters candidates only; a word that a query repeats counts again; only positive scores are hits.
+def _blocks(queries: DataFrame, query: str, size: Column, most: int) -> list[DataFrame]:
+    """The queries in blocks by a hash, each of about `most` bytes at most: a block goes to every task."""
+    total = queries.agg(F.sum(size)).first()[0] or 0
+    n = max(1, -(-int(total) // most))
+    return [queries.where(F.pmod(F.xxhash64(query), F.lit(n)) == b) if n > 1 else queries for b in range(n)]
 
-    The corpus is cut to the queries' words before anything is shuffled: by a broadcast of these words if there are at
-    most `broadcast_terms`, else by a join. Document lengths come with the words, so no second pass is needed.
-    """
-    asked = queries.select(query, F.explode(tokens(query_text)).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
-    terms = asked.select("term").distinct()
-    few = terms.limit(broadcast_terms + 1).count() <= broadcast_terms
-    stats = corpus.agg(F.count("*").alias("n"), F.avg(F.size(tokens(text))).alias("avg_dl")).first()
-    n, average = stats["n"], stats["avg_dl"] or 1.0
-    rows = corpus.withColumn("_words", tokens(text)).select(key, F.size("_words").alias("dl"), (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("_keep"), F.explode("_words").alias("term"))
-    rows = rows.join(F.broadcast(terms) if few else terms, "term", "left_semi")
-    counts = rows.groupBy("term", key, "dl", "_keep").agg(F.count("*").alias("tf"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    words = asked.join(df, "term").withColumn("idf", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(average))))
-    scored = counts.where("_keep").join(words, "term").groupBy(query, key).agg(F.sum(part).alias("score"))
-    return top_k(scored.where("score > 0"), query, key, k)
+
+def _best(hits: pd.DataFrame, query: str, key: str, k: int) -> pd.DataFrame:
+    return hits.sort_values([query, "score", key], ascending=[True, False, False]).groupby(query, sort=False).head(k)
 
 
-def norm(vector: Column) -> Column:
-    n = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.when(n == 0, 1e-9).otherwise(n)
+def _in_tasks(rows: DataFrame, score, schema: str, query: str, key: str, k: int) -> DataFrame:
+    """The k best hits of each query in each partition of `rows`: `score` gives the hits of a batch, of which no more are kept.
+    So a partition sends k rows for each query, however many rows it has."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            for a in range(0, len(batch), ROWS_AT_ONCE):
+                hits = score(batch.slice(a, ROWS_AT_ONCE))
+                hits["score"] = hits["score"].round(9)
+                kept = _best(hits if kept is None else pd.concat([kept, hits]), query, key, k)
+        if kept is not None:
+            yield pa.RecordBatch.from_pandas(kept[[query, key, "score"]], preserve_index=False)
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
+    return rows.mapInArrow(run, schema)
 
 
-def cosine(corpus: DataFrame, queries: DataFrame, key: str, vector: str, query: str, query_vector: str, k: int, keep: Column | None = None, queries_at_once: int = 1000) -> DataFrame:
-    """(query, key, score, rank): exact cosine of each query with each candidate. Queries are a stated set, taken in blocks
-    of at most `queries_at_once`: each block is broadcast, and each partition keeps its k best before the shuffle."""
+def bm25(corpus: DataFrame, queries: DataFrame, key: str, text: Column, query: str, query_text: Column, k: int, keep: Column | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(query, key, score, rank): Okapi BM25. Counts, frequencies and the average length are those of the whole corpus,
+    `keep` filters candidates only; a word that a query repeats counts again; only positive scores are hits.
+
+    One scan counts the queries' words; a second one scores each record where it lies, against the queries' weights, which
+    are sent to the tasks in blocks of bounded size. No pair of query and record is shuffled but the k best of a partition.
+    """
+    spark, kinds = corpus.sparkSession, {query: queries.schema[query].dataType.simpleString(), key: corpus.schema[key].dataType.simpleString()}
+    asked = queries.select(query, F.explode(tokens(query_text)).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
+    terms = asked.select("term").union(spark.range(1).select(F.lit("").alias("term"))).distinct()
+    seen = corpus.select(tokens(text).alias("w")).select(F.size("w").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("w"))).alias("term"))
+    counts = seen.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl")).persist()  # a row for each word asked for
+    whole = counts.where("term = ''").first()  # the empty word stands for the record itself
+    n, average = (whole["df"], whole["dl"] / whole["df"] or 1.0) if whole else (0, 1.0)
+    weights = asked.join(counts, "term").select(query, "term", (F.col("qtf") * F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"))
+    rows = corpus.where(keep) if keep is not None else corpus
+    rows = rows.select(F.col(key), tokens(text).alias("_words"))
+    out = None
+    for block in _blocks(weights, query, F.octet_length("term") + 32, broadcast_bytes):
+        shared = spark.sparkContext.broadcast(_Weights(block.toArrow(), query, average))
+        found = _in_tasks(rows, lambda batch, shared=shared: shared.value.score(batch, query, key), f"`{query}` {kinds[query]}, `{key}` {kinds[key]}, score double", query, key, k)
+        out = found if out is None else out.union(found)
+    return top_k(out, query, key, k)
+
+
+class _Weights:
+    """Weights of a block of queries by word: word t has those of the entries first[t] to first[t + 1]."""
+
+    def __init__(self, table: pa.Table, query: str, average: float):
+        words, ids = table.column("term").combine_chunks(), table.column(query).combine_chunks().dictionary_encode()
+        self.words = pc.unique(words)
+        self.queries, self.average = ids.dictionary.to_pandas().to_numpy(), average
+        at = pc.index_in(words, value_set=self.words).to_numpy(zero_copy_only=False)
+        order = np.argsort(at, kind="stable")
+        self.owner, self.weight = ids.indices.to_numpy()[order], table.column("w").to_numpy()[order]
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(self.words))))).astype(np.int64)
+
+    def score(self, batch: pa.RecordBatch, query: str, key: str) -> pd.DataFrame:
+        words, keys = batch.column("_words"), batch.column(key).to_pandas().to_numpy()
+        lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = pc.index_in(words.flatten(), value_set=self.words)
+        doc, hit = np.repeat(np.arange(len(words)), lengths), found.is_valid().to_numpy(zero_copy_only=False)
+        term = found.drop_null().to_numpy().astype(np.int64)
+        pairs, tf = np.unique(doc[hit] * max(len(self.words), 1) + term, return_counts=True)
+        doc, term = pairs // max(len(self.words), 1), pairs % max(len(self.words), 1)
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / self.average))
+        many = self.first[term + 1] - self.first[term]
+        entry = np.arange(int(many.sum())) + np.repeat(self.first[term] - np.cumsum(many) + many, many)
+        total = np.bincount(np.repeat(doc, many) * len(self.queries) + self.owner[entry], weights=np.repeat(part, many) * self.weight[entry], minlength=len(words) * len(self.queries))
+        at = np.flatnonzero(total > 0)
+        width = max(len(self.queries), 1)
+        return pd.DataFrame({query: self.queries[at % width], key: keys[at // width], "score": total[at]})
+
+
+def cosine(corpus: DataFrame, queries: DataFrame, key: str, vector: str, query: str, query_vector: str, k: int, keep: Column | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(query, key, score, rank): exact cosine of each query with each candidate; vectors of zeros count as of length 1e-9,
+    and null vectors, or ones of another dimension, are no candidates. Queries are a stated set: blocks of them, of bounded
+    size, go to the tasks, which multiply matrices batch by batch and send on their k best rows for each query."""
+    spark = corpus.sparkSession
     candidates = corpus.where(keep) if keep is not None else corpus
-    candidates = candidates.select(F.col(key), F.col(vector).alias("_v"), norm(F.col(vector)).alias("_n"))
-    blocks = max(1, -(-queries.count() // queries_at_once))
+    candidates = candidates.where(F.col(vector).isNotNull()).select(F.col(key), F.col(vector).cast("array<double>").alias("_v"))
+    asked = queries.where(F.col(query_vector).isNotNull()).select(F.col(query), F.col(query_vector).cast("array<double>").alias("_q"))
+    schema = f"`{query}` {queries.schema[query].dataType.simpleString()}, `{key}` {corpus.schema[key].dataType.simpleString()}, score double"
     out = None
-    for b in range(blocks):
-        some = queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b) if blocks > 1 else queries
-        some = some.select(F.col(query), F.col(query_vector).alias("_q"), norm(F.col(query_vector)).alias("_m"))
-        scored = candidates.join(F.broadcast(some)).select(query, key, (dot(F.col("_v"), F.col("_q")) / (F.col("_n") * F.col("_m"))).alias("score"))
-        best = top_k(scored, query, key, k)
-        out = best if out is None else out.union(best)
-    return out
+    for block in _blocks(asked, query, F.size("_q") * 8 + 16, broadcast_bytes):
+        for dimension in [r[0] for r in block.select(F.size("_q")).distinct().collect()]:  # one, as a rule
+            some = block.where(F.size("_q") == dimension).toArrow()
+            ids, matrix = some.column(query).to_pandas().to_numpy(), _matrix(some.column("_q").combine_chunks(), dimension)
+            shared = spark.sparkContext.broadcast((ids, matrix))
+
+            def score(batch: pa.RecordBatch, shared=shared) -> pd.DataFrame:
+                ids, asked = shared.value
+                made = _matrix(batch.column("_v"), asked.shape[1]) @ asked.T
+                keys = batch.column(key).to_pandas().to_numpy()
+                return pd.DataFrame({query: np.tile(ids, len(keys)), key: np.repeat(keys, len(ids)), "score": made.ravel()})
+
+            found = _in_tasks(candidates.where(F.size("_v") == dimension), score, schema, query, key, k)
+            out = found if out is None else out.union(found)
+    if out is None:
+        out = spark.createDataFrame([], schema)
+    return top_k(out, query, key, k)
+
+
+def _matrix(vectors: pa.Array, dimension: int) -> np.ndarray:
+    """Vectors of one dimension as rows of length one."""
+    made = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
+    norms = np.sqrt((made * made).sum(axis=1, keepdims=True))
+    return made / np.where(norms == 0, 1e-9, norms)
 
 
 def species_filter(species: Column, wanted: list[str]) -> Column:

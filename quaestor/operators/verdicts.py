@@ -50,27 +50,26 @@ def label_of(raw: Column, score: Column) -> Column:
 
 def unfenced(answer: Column) -> Column:
     """A model's answer without thinking tags; of fenced blocks, the last one's text."""
-    plain = F.regexp_replace(F.coalesce(answer, F.lit("")), r"(?s)<think>.*?</think>", "")
+    plain = F.regexp_replace(F.coalesce(answer, F.lit("")), r"(?is)<think(?:ing)?>.*?</think(?:ing)?>", "")
     fenced = F.regexp_extract_all(plain, F.lit(r"(?s)```(?:json)?\s*(.*?)```"), F.lit(1))
     return strip(F.when(F.size(fenced) > 0, F.element_at(fenced, -1)).otherwise(plain))
 
 
 def _first_object(text: str) -> str | None:
-    """The first balanced {...} that is JSON, minding strings; else what lies between the outermost braces, if that is."""
-    decoder, at = json.JSONDecoder(), text.find("{")
-    while at >= 0:
-        try:
-            _, end = decoder.raw_decode(text, at)
-            return text[at:end]
-        except ValueError:
-            at = text.find("{", at + 1)
-    if m := re.search(r"\{.*\}", text, re.S):
-        try:
-            json.loads(m[0])
-            return m[0]
-        except ValueError:
-            pass
-    return None
+    """The JSON object that the first brace opens; if that is none, what lies between the outermost braces, if that is. Two
+    passes over the text at most."""
+    first, last = text.find("{"), text.rfind("}")
+    if first < 0:
+        return None
+    try:
+        return text[first : json.JSONDecoder().raw_decode(text, first)[1]]
+    except (ValueError, RecursionError):
+        pass
+    try:
+        json.loads(text[first : last + 1])
+        return text[first : last + 1]
+    except (ValueError, RecursionError):
+        return None
 
 
 def recovered(answer: Column) -> Column:

@@ -26,24 +26,21 @@ def _any(array: Column, test) -> Column:
 
 
 def _everything() -> Column:
-    """The values of the blocks in which products are looked for, as one text of their leaves."""
-    return F.array_join(F.filter(F.concat(*[_leaves(b) for b in ("research", "summaries", "n_justification", "experiments")]), lambda x: x != ""), " ")
+    """The values of the blocks in which products are looked for, as one text of their leaves, without any keys. As SQL text:
+    there are hundreds of leaves, and each would be a call to the JVM otherwise."""
+    blocks = ("research", "summaries", "n_justification", "experiments")
+    return F.expr(f"array_join(filter(concat({', '.join(leaves(b, protocol_type()[b].dataType) for b in blocks)}), x -> x <> ''), ' ')")
 
 
-def _leaves(block: str) -> Column:
-    return F.coalesce(leaf_texts(F.col(block), protocol_type()[block].dataType), F.array().cast("array<string>"))
-
-
-def leaf_texts(value: Column, kind: T.DataType) -> Column:
-    """The texts of a nested value, in order: an array of strings."""
-    none = F.array().cast("array<string>")
+def leaves(value: str, kind: T.DataType, depth: int = 0) -> str:
+    """SQL for the texts of a nested value, in order: an array of strings that is never null."""
     if isinstance(kind, T.StructType):
-        return F.concat(*[F.coalesce(leaf_texts(value[f.name], f.dataType), none) for f in kind])
+        return f"concat({', '.join(leaves(f'{value}.`{f.name}`', f.dataType, depth) for f in kind)})"
     if isinstance(kind, T.ArrayType):
-        return F.flatten(F.transform(F.coalesce(value, F.array().cast(kind)), lambda v: F.coalesce(leaf_texts(v, kind.elementType), none)))
+        return f"coalesce(flatten(transform({value}, v{depth} -> {leaves(f'v{depth}', kind.elementType, depth + 1)})), array())"
     if isinstance(kind, T.MapType):
-        return F.map_values(value).cast("array<string>")
-    return F.array(F.coalesce(value.cast("string"), F.lit("")))
+        return f"coalesce(transform(map_values({value}), v{depth} -> coalesce(string(v{depth}), '')), array())"
+    return f"array(coalesce(string({value}), ''))"
 
 
 def texts() -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import text as tx
 from ..operators import catalog, chunks, evaluation, feedback, reconcile, search, sessions, verdicts
+from ..schema import REQUIRED
 from ..sources import html
 from .review import protocols
 
@@ -205,9 +206,9 @@ def snippet_cut(spark, sf_dir):
 # Chunks and pages
 
 
-@_query("SELECT doc_id, substr(regexp_replace(regexp_replace(lower(left(text, 90)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) AS id FROM documents")
+@_query("SELECT doc_id, substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) AS id FROM documents")
 def slug_ids(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", tx.slug(F.substring("text", 1, 90)).alias("id"))
+    return _t(spark, sf_dir, "documents").select("doc_id", tx.slug(F.col("text")).alias("id"))
 
 
 @_query("""SELECT p_partkey, CASE WHEN n = 1 THEN s ELSE s || '-' || n END AS id FROM (SELECT p_partkey, s, row_number() OVER (PARTITION BY s ORDER BY p_partkey) AS n FROM
@@ -258,7 +259,7 @@ def field_samples(spark, sf_dir):
 
 @_query(
     "SELECT path, 'required' AS rule, count(DISTINCT conv_id) AS protocols FROM conversations, (SELECT unnest(["
-    + ", ".join(f"'{p}'" for p in ("header", "research", "pi", *(f"{b}.{k}" for b, ks in __import__("quaestor.schema", fromlist=["REQUIRED"]).REQUIRED.items() for k in ks)))
+    + ", ".join(f"'{p}'" for p in ("header", "research", "pi", *(f"{b}.{k}" for b, ks in REQUIRED.items() for k in ks)))
     + "]) AS path) GROUP BY path"
 )
 def schema_violations(spark, sf_dir):

@@ -91,7 +91,7 @@ def test_wiki_text(spark):
 def test_bm25_by_join_is_bm25_by_broadcast(spark):
     docs = spark.createDataFrame([(1, "mouse welfare law"), (2, "mouse mouse"), (3, "rat"), (4, None)], "id long, text string")
     asked = spark.createDataFrame([(7, "mouse law law"), (8, "nothing known"), (9, "")], "q long, words string")
-    hits = [search.bm25(docs, asked, "id", F.col("text"), "q", F.col("words"), 2, broadcast_terms=n).collect() for n in (100, 0)]
+    hits = [search.bm25(docs, asked, "id", F.col("text"), "q", F.col("words"), 2, broadcast_bytes=n).collect() for n in (1 << 20, 1)]
     assert sorted(hits[0]) == sorted(hits[1]) and [(r.q, r.id) for r in sorted(hits[0], key=lambda r: r.rank)] == [(7, 1), (7, 2)]
 
 
@@ -107,7 +107,7 @@ def test_cosine_in_blocks(spark):
     rng = random.Random(3)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(40)]
     docs, asked = spark.createDataFrame(rows, "id long, v array<double>"), spark.createDataFrame(rows[:9], "q long, a array<double>")
-    whole, cut = (search.cosine(docs, asked, "id", "v", "q", "a", 3, queries_at_once=n).collect() for n in (100, 2))
+    whole, cut = (search.cosine(docs, asked, "id", "v", "q", "a", 3, broadcast_bytes=n).collect() for n in (1 << 20, 40))
     assert sorted(whole) == sorted(cut) and len(whole) == 27
 
 
