@@ -19,7 +19,7 @@ _SILENT = {"script", "style", "noscript"}
 
 
 class _Cells(HTMLParser):
-    """Collects cells: headings and div.header titles open a section; th and td belong to the innermost table; a new cell,
+    """Collects cells: headings, and divs of the header classes, open a section; th and td belong to the innermost table; a new cell,
     row or block closes what is open, so unclosed tags do no harm."""
 
     def __init__(self) -> None:
@@ -33,7 +33,7 @@ class _Cells(HTMLParser):
 
     def close_cell(self) -> None:
         text = " ".join("".join(self.parts).split())
-        if self.kind in ("heading", "title") and text:
+        if self.kind in ("heading", "sub-header", "title") and text:
             self.section = text
         if self.kind and (text or self.kind in ("td", "th")):
             inside = self.kind in ("td", "th")
@@ -56,7 +56,7 @@ class _Cells(HTMLParser):
             self.kind, self.col = tag, self.col + 1
         elif tag in _HEADINGS or tag == "div" and {"header", "sub-header", "table-header"} & set(names):
             self.close_cell()
-            self.kind = "title" if tag == "title" else "heading"
+            self.kind = "title" if tag == "title" else "sub-header" if "sub-header" in names else "heading"
         elif tag in _BLOCKS and self.kind not in ("td", "th"):
             self.close_cell()
             self.kind = "text"

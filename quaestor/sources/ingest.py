@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import read_protocols
+from . import forms
 
 ADAPTERS = {"html": (".html", ".htm"), "json": (".json",)}
 
@@ -27,14 +28,17 @@ def adapter_of(path: Column, text: Column) -> Column:
 
 
 def ingest(files: DataFrame) -> DataFrame:
-    """(path, adapter, error, protocol columns): JSON files as protocols. What can't be read gives a row with an error that
-    never holds the file's content."""
+    """(path, adapter, error, protocol columns): JSON files and HTML form exports as protocols. What can't be read gives a row
+    with an error that never holds the file's content."""
     rows = files.withColumn("adapter", adapter_of(F.col("path"), F.col("text")))
     bad = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("adapter").isNull(), "unknown format").when((F.col("adapter") == "json") & F.try_parse_json("text").isNull(), "not JSON").when(
         (F.col("adapter") == "json") & F.json_object_keys("text").isNull(), "not an object"
     )
-    rows = rows.withColumn("error", bad)
-    return read_protocols(rows.withColumn("text", F.when(F.col("error").isNull() & (F.col("adapter") == "json"), F.col("text")).otherwise("{}"))).drop("text")
+    rows = rows.select("path", "adapter", bad.alias("_bad"), F.when(bad.isNull() & (F.col("adapter") == "json"), F.col("text")).alias("_json"), F.when(F.col("adapter") == "html", F.col("text")).alias("_html"))
+    found = forms.extract(rows, "path", "_html", ("path", "adapter", "_bad", "_json"))
+    error = F.coalesce("_bad", F.when(F.col("adapter") == "html", F.col("error")))
+    text = F.when(error.isNotNull(), "{}").when(F.col("adapter") == "html", F.to_json(F.struct(*forms.BLOCKS))).otherwise(F.col("_json"))
+    return read_protocols(found.select("path", "adapter", error.alias("error"), text.alias("text"))).drop("text")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Form exports, made here, to protocol blocks."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quaestor.sources import forms
 
@@ -10,8 +11,19 @@ def page(quantity="12"):
     horizontal = lambda heads, rows: "<div class='table horizontal'><table><tr>" + "".join(f"<th>{h}</th>" for h in heads) + "</tr>" + "".join("<tr>" + "".join(f"<td>{x}</td>" for x in r) + "</tr>" for r in rows) + "</table></div>"
     research = [(forms.RESEARCH["title_he"], "מחקר"), (forms.RESEARCH["title_en"], "A Pilot &amp; more"), (forms.CONTINUATION, "חדש"), (forms.THIRD_PARTY, forms.YES), (forms.THIRD["sponsor_org"], "Org"), (forms.TERM, "3 שנים"), (forms.SITES, "A, B,")]
     return (
-        "<html><body><div class='sub-header'>המחקר</div>" + vertical(research) + "<div class='sub-header'>החוקר הראשי</div>" + vertical([(forms.ID_TYPE, "ת.ז."), (forms.PI["email"], "x@y.z"), (forms.PI["email"], "last@y.z")])
+        "<html><body><div class='header'><div>בקשת ניסוי מס': <span>IL-7</span></div><div>שם המוסד: <span>Uni</span></div></div><div class='sub-header'>המחקר</div>" + vertical(research) + "<div class='sub-header'>החוקר הראשי</div>" + vertical([(forms.ID_TYPE, "ת.ז."), (forms.PI["email"], "x@y.z"), (forms.PI["email"], "last@y.z")])
         + "<div class='table-header'>הכשרות החוקר</div>" + horizontal(list(forms.TRAINING.values()), [("7", "U", "mice", "2020"), ("8",)])
+        + "<div class='sub-header'>משתתפים במחקר</div>" + "".join(
+            f"<div class='table-header'>משתתף מס {i}</div>" + horizontal(list(forms.PARTICIPANTS.values()), [(name, "g", str(i), role, "כן" if i == 1 else "לא")]) + ("<div class='table-header'>הכשרות</div>" + horizontal(list(forms.PARTICIPANT_TRAINING.values()), [("c", "u", "rats")]) if i == 1 else "")
+            for i, name, role in ((1, "לוי", "עובד עם בעלי חיים"), (2, "כהן", "אחר"))
+        )
+        + "<div class='sub-header'>נימוק למספר בעלי החיים</div><div class='table'><div>Power: 12 for 80%: yes</div></div>"
+        + "<div class='sub-header'>תקציר מדעי</div>" + vertical([(q, a) for q, a in zip(forms.SUMMARY.values(), ("t", "", "q"))]) + "<div class='sub-header'>תקציר לקהל הרחב</div><div class='table'><div>lay words</div></div>"
+        + "<div class='sub-header'>חיפוש חלופות</div><div class='table'><div>מנועים: PubMed, EURL</div></div><div class='table'><div>שאילתות: a; b</div></div><div class='table'><div>מסקנה: none</div></div>"
+        + "<div class='sub-header'>ניסויים מקדימים</div>" + vertical([("האם היו שלבים בלי חיות?", "כן"), ("פרוט הניסויים", "cells")])
+        + "<div class='sub-header'>ניסוי 1</div>" + horizontal(list(forms.EXPERIMENT_ANIMALS.values()), [("עכברים", "", "C57", "wt", "זכר", "5", "8 Weeks", "אחר")]) + horizontal(list(forms.HOUSING.values()), [("קבוצתי", "", "")])
+        + "<div class='table-header'>נימוקים לבחירה</div>" + vertical([("הנימוק לבחירת סוג, זן ומין בעל החיים", "best"), ("תיאור מהלך הניסוי", "steps"), ("האם נעשה שימוש במשככי כאבים", "לא"), ("שאלת המחקר", "why")])
+        + "<div class='sub-header'>ניסוי 2</div><p>nothing</p>"
         + "<div class='sub-header'>בעלי החיים הדרושים</div>" + horizontal(list(forms.TOTALS.values()), [("עכברים", "", "C57", "", "זכר, נקבה", "8", quantity, "מקור חיצוני"), ("dog", "", "", "", "", "", "", "a, b")]) + "</body></html>"
     )
 
@@ -31,6 +43,36 @@ def test_blocks(rows):
     assert [(t.species_standard, t.sex, t.n_total, t.source) for t in r.animals_total] == [("mouse", "both", 12, "vendor"), ("", "unknown", 0, "other")]
 
 
+def test_further_blocks(rows):
+    r = rows["1"]
+    assert (r.header.protocol_id, r.header.institution) == ("IL-7", "Uni")
+    assert [(p.family_name, p.role, p.certified, len(p.training)) for p in r.participants] == [("לוי", "performs_procedures", True, 1), ("כהן", "participant", False, 0)]
+    assert (r.n_justification.method, r.n_justification.details) == ("power", "12 for 80%: yes")
+    assert r.summaries["scientific_en_≤300w"] == "t q" and r.summaries["lay_he_≤150w"] == "lay words" and r.summaries["_sub_questions"]["specific_question"] == "q"
+    a = r.alternatives_search
+    assert (a.engines, a.queries, a.conclusion, a.alternatives_checked) == (["PubMed", "EURL"], ["a", "b"], "none", None)
+    assert (a.preliminary_experiments.had_alternative_methods, a.preliminary_experiments.details) == (True, "cells")
+    one, two = r.experiments
+    assert (one.label, one.question, one.rationale_species_strain_sex, one.procedure_timeline[0].step, one.analgesia_used) == ("ניסוי 1", "why", "best", "steps", False)
+    assert (one.animals.species_standard, one.animals.sex, one.animals.n, one.animals.age.value, one.animals.age.unit, one.housing.group_housed) == ("mouse", "M", 5, 8.0, "weeks", True)
+    assert two.animals is None and two.housing is None
+
+
+def test_ingest_gives_findings(spark, tmp_path):
+    """HTML files and JSON files become protocols, and what can't be read says so."""
+    from quaestor.operators import report
+    from quaestor.sources import ingest
+
+    for name, text in (("a.html", page()), ("b.json", '{"is_colony": true}'), ("c.html", page("many")), ("d.json", "[1]"), ("e.txt", "?")):
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    made = ingest.ingest(ingest.read_files(spark, str(tmp_path))).withColumn("protocol_id", F.regexp_extract("path", r"([a-e])\.", 1))
+    got = {r.protocol_id: r for r in made.collect()}
+    assert {k: r.error for k, r in got.items()} == {"a": None, "b": None, "c": "quantity is not a whole number", "d": "not an object", "e": "unknown format"}
+    assert got["a"].pi.email == "last@y.z" and got["a"].missing_keys == [] and got["b"].is_colony and len(got["a"].experiments) == 2
+    refs = {r.ref for r in report.findings(made.where("protocol_id = 'a'"), ("default",)).collect() if r.status == "fail"}
+    assert "animals:totals-vs-exps" in refs and not {"header", "research", "pi"} & refs
+
+
 def test_bad_and_empty_pages(rows):
     assert rows["2"].error and rows["2"].research is None and rows["2"].animals_total is None
     for k in ("3", "4"):
@@ -38,7 +80,5 @@ def test_bad_and_empty_pages(rows):
 
 
 def test_vocabularies(spark):
-    from pyspark.sql import functions as F
-
     one = lambda f, x: spark.createDataFrame([(x,)], "x string").select(f(F.col("x"))).first()[0]
     assert [one(forms.fate, x) for x in ("המתה", "rehoming", "sold", "", None)] == ["euthanasia", "rehoming", "other", "", ""]

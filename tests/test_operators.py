@@ -113,7 +113,7 @@ def test_cosine_in_blocks(spark):
 
 @pytest.mark.parametrize(
     "answer, want",
-    [('{"a": 1}', '{"a": 1}'), ('<think>{"b":2}</think> so: {"a": "}"} end', '{"a": "}"}'), ('```json\n{"a": 1}\n``` then ```\n{"a": 2}\n```', '{"a": 2}'), ("none", None), ("{broken", None), (None, None), ('{x} {"a": 3}', '{"a": 3}')],
+    [('{"a": 1}', '{"a": 1}'), ('<think>{"b":2}</think> so: {"a": "}"} end', '{"a": "}"}'), ('```json\n{"a": 1}\n``` then ```\n{"a": 2}\n```', '{"a": 2}'), ("none", None), ("{broken", None), (None, None), ('{x} {"a": 3}', None), ('so {"a": {"b": 1}} and {"c": 2}', '{"a": {"b": 1}}'), ("{" * 200_000, None), ('<Thinking>{"b": 2}</thinking>{"a": 4}', '{"a": 4}')],
 )
 def test_json_recovery(spark, answer, want):
     assert values(spark, [answer], verdicts.recovered) == [want]
