@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,7 +116,7 @@ def _consistency(share: float) -> float:
     return share / chi2_cdf(chi2_quantile(share, p), p + 2)
 
 
-def _with_distance(rows: DataFrame, estimates: DataFrame, sized: Sized, of: str = "x") -> DataFrame:
+def _with_distance(rows: DataFrame, estimates: DataFrame, sized: Sized, of: str = "x", how: str = "left") -> DataFrame:
     """rows, once for each start of their group's estimates, with start and d2, the squared Mahalanobis distance; a group
     without estimates has nulls."""
     own = [c for c in rows.columns if c not in ("d2", "start")]
@@ -123,7 +124,7 @@ def _with_distance(rows: DataFrame, estimates: DataFrame, sized: Sized, of: str
     for i in range(len(COORDINATES)):
         rest = F.col(f"{of}{i}") - F.col(f"m{i}") - sum((F.col(f"l{i}{k}") * solved[k] for k in range(i)), F.lit(0.0))
         solved.append(rest / F.col(f"l{i}{i}"))
-    return rows.select(*own).join(sized(estimates), "group", "left").select(*own, "start", sum((y * y for y in solved[1:]), solved[0] * solved[0]).alias("d2"))
+    return rows.select(*own).join(sized(estimates), "group", how).select(*own, "start", sum((y * y for y in solved[1:]), solved[0] * solved[0]).alias("d2"))
 
 
 def _closest(near: DataFrame, share: float, largest: int, sized: Sized) -> DataFrame:
@@ -172,16 +173,23 @@ def _least_determinant(good: DataFrame, support: float, sized: Sized) -> DataFra
     """Of each group, the estimates of its support set: concentration from each start until no log-determinant changes, then
     the start with the least one."""
     largest = good.groupBy("group").count().agg(F.max("count")).first()[0] or 0
-    own, scale, before = [d for _, d in COORDINATES.values()], _consistency(support), None
+    own, scale, before, settled = [d for _, d in COORDINATES.values()], _consistency(support), None, []
     near = _starts(good, sized)
     for _ in range(MOST_STEPS):
         now = frozen(_estimates(_closest(near, support, largest, sized), scale, own))
-        if before is not None:
-            moved = now.join(before.select(*_KEYS, F.col("log_det").alias("_was")), _KEYS).where(F.abs(F.col("log_det") - F.col("_was")) > SETTLED)
-            if moved.isEmpty():
+        moving = now
+        if before is not None:  # what has settled takes no further steps
+            both = now.join(before.select(*_KEYS, F.col("log_det").alias("_was")), _KEYS, "left")
+            still = F.abs(F.col("log_det") - F.col("_was")) > SETTLED
+            settled.append(both.where(~still).drop("_was"))
+            moving = both.where(still).drop("_was")
+            if moving.isEmpty():
                 break
-        before, near = now, _with_distance(good, now, sized)
-    best = now.groupBy("group").agg(F.min_by(F.struct(*now.columns), F.struct(F.round("log_det", 8), "start")).alias("best"))
+        before, near = now, _with_distance(good, moving, sized, how="inner")
+    else:
+        settled.append(moving)
+    every = reduce(DataFrame.union, settled)
+    best = every.groupBy("group").agg(F.min_by(F.struct(*every.columns), F.struct(F.round("log_det", 8), "start")).alias("best"))
     return best.select("best.*")
 
 
