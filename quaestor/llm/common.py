@@ -16,13 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share; a default only where the session names none."""
+    """The checkpoint folder that all executors share, as the session names it. Only a local session, whose executors are the
+    driver itself, may leave it unset; then it is a folder of this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or "/tmp/checkpoints")
     return sc.getCheckpointDir()
 
 
+def drop_stored(spark: SparkSession) -> None:
+    """Deletes the checkpoints and stored tables that this session has made so far; results that still read them must have
+    been written before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def frozen(df: DataFrame) -> DataFrame:
     """Computes `df` once and cuts its lineage with a reliable checkpoint; for narrow tables."""
     shared_dir(df.sparkSession)
