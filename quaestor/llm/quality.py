@@ -132,16 +132,18 @@ def _closest(near: DataFrame, share: float, largest: int, sized: Sized) -> DataF
     last of them. The order statistic is exact: quantile sketches bracket it, once more for each GRID / 2 times that the
     largest group exceeds a bracket, and the few distances of the last bracket are sorted."""
     bounds, left = None, largest
-    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
     while bounds is None or left > BRACKET:
         if bounds is None:
-            found = near.groupBy(*_KEYS).agg(F.percentile_approx("d2", grid, ACCURACY).alias("q"), F.count("*").alias("n"))
-            found = found.select(*_KEYS, "q", "n", F.ceil(F.col("n") * share).alias("k"), F.lit(0).cast("long").alias("below"))
+            # The rank is the same share of each group here, so two quantiles around it do.
+            edges = F.array(F.lit(max(share - 1 / GRID, 0.0)), F.lit(min(share + 1 / GRID, 1.0)))
+            found = near.groupBy(*_KEYS).agg(F.percentile_approx("d2", edges, ACCURACY).alias("q"), F.count("*").alias("n"))
+            bounds = found.select(*_KEYS, F.ceil(F.col("n") * share).alias("k"), F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
         else:
+            grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
             inside = F.col("d2").between(F.col("lo"), F.col("hi"))
             found = near.join(sized(bounds), _KEYS).groupBy(*_KEYS).agg(F.percentile_approx(F.when(inside, F.col("d2")), grid, ACCURACY).alias("q"), F.count_if(inside).alias("n"), F.first("k").alias("k"), F.count_if(F.col("d2") < F.col("lo")).alias("below"))
-        at = F.floor((F.col("k") - F.col("below")) / F.col("n") * GRID).cast("int")
-        bounds = found.select(*_KEYS, "k", F.when(at > 1, F.get("q", at - 1)).otherwise(-1.0).alias("lo"), F.coalesce(F.get("q", at + 2), F.lit(float("inf"))).alias("hi"))
+            at = F.floor((F.col("k") - F.col("below")) / F.col("n") * GRID).cast("int")
+            bounds = found.select(*_KEYS, "k", F.when(at > 1, F.get("q", at - 1)).otherwise(-1.0).alias("lo"), F.coalesce(F.get("q", at + 2), F.lit(float("inf"))).alias("hi"))
         left = left * 4 // GRID
     inside = F.col("d2").between(F.col("lo"), F.col("hi"))
     last = near.join(sized(bounds), _KEYS).groupBy(*_KEYS).agg(F.array_sort(F.collect_list(F.when(inside, F.col("d2")))).alias("d"), (F.first("k") - F.count_if(F.col("d2") < F.col("lo"))).cast("int").alias("i"))
@@ -179,7 +181,7 @@ def _least_determinant(good: DataFrame, support: float, sized: Sized) -> DataFra
         now = frozen(_estimates(_closest(near, support, largest, sized), scale, own))
         moving = now
         if before is not None:  # what has settled takes no further steps
-            both = now.join(before.select(*_KEYS, F.col("log_det").alias("_was")), _KEYS, "left")
+            both = frozen(now.join(before.select(*_KEYS, F.col("log_det").alias("_was")), _KEYS, "left"))  # a row for each group and start
             still = F.abs(F.col("log_det") - F.col("_was")) > SETTLED
             settled.append(both.where(~still).drop("_was"))
             moving = both.where(still).drop("_was")
