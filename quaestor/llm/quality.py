@@ -97,17 +97,18 @@ _KEYS = ["group", "start"]
 
 def _estimates(rows: DataFrame, scale: float, own: list[float]) -> DataFrame:
     """For each group and start: the means m0.. of its rows, the Cholesky factor l00, l10.. of their covariance, which is
-    scaled and widened by the coordinates' own deviations, and the logarithm of the determinant."""
+    scaled and widened by the coordinates' own deviations, the logarithm of the determinant, and `was`, if rows have it."""
     p = len(COORDINATES)
     means = [F.avg(f"x{i}").alias(f"m{i}") for i in range(p)]
     covariances = [F.covar_pop(f"x{i}", f"x{j}").alias(f"s{i}{j}") for i in range(p) for j in range(i + 1)]
-    found = rows.groupBy(*_KEYS).agg(*means, *covariances)
-    for i in range(p):
-        for j in range(i + 1):
-            rest = F.col(f"s{i}{j}") * scale + (own[i] ** 2 if i == j else 0.0) - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            found = found.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
+    before = [F.max("was").alias("was")] if "was" in rows.columns else []
+    found = rows.groupBy(*_KEYS).agg(*means, *covariances, *before)
+    for j in range(p):  # column by column: the diagonal, then what is below it
+        rest = [F.col(f"s{i}{j}") * scale + (own[i] ** 2 if i == j else 0.0) - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0)) for i in range(j, p)]
+        found = found.withColumn(f"l{j}{j}", F.sqrt(rest[0]))
+        found = found.withColumns({f"l{i}{j}": rest[i - j] / F.col(f"l{j}{j}") for i in range(j + 1, p)}) if j + 1 < p else found
     logs = [2 * F.log(f"l{i}{i}") for i in range(p)]
-    return found.select(*_KEYS, *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)], sum(logs[1:], logs[0]).alias("log_det"))
+    return found.select(*_KEYS, *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)], sum(logs[1:], logs[0]).alias("log_det"), *(["was"] if before else []))
 
 
 def _consistency(share: float) -> float:
@@ -117,14 +118,15 @@ def _consistency(share: float) -> float:
 
 
 def _with_distance(rows: DataFrame, estimates: DataFrame, sized: Sized, of: str = "x", how: str = "left") -> DataFrame:
-    """rows, once for each start of their group's estimates, with start and d2, the squared Mahalanobis distance; a group
-    without estimates has nulls."""
-    own = [c for c in rows.columns if c not in ("d2", "start")]
+    """rows, once for each start of their group's estimates, with start and d2, the squared Mahalanobis distance, and `was`,
+    if estimates have it; a group without estimates has nulls."""
+    own = [c for c in rows.columns if c not in ("d2", "start", "was")]
+    before = ["was"] if "was" in estimates.columns else []
     solved: list[Column] = []
     for i in range(len(COORDINATES)):
         rest = F.col(f"{of}{i}") - F.col(f"m{i}") - sum((F.col(f"l{i}{k}") * solved[k] for k in range(i)), F.lit(0.0))
         solved.append(rest / F.col(f"l{i}{i}"))
-    return rows.select(*own).join(sized(estimates), "group", how).select(*own, "start", sum((y * y for y in solved[1:]), solved[0] * solved[0]).alias("d2"))
+    return rows.select(*own).join(sized(estimates), "group", how).select(*own, "start", *before, sum((y * y for y in solved[1:]), solved[0] * solved[0]).alias("d2"))
 
 
 def _closest(near: DataFrame, share: float, largest: int, sized: Sized) -> DataFrame:
@@ -175,19 +177,16 @@ def _least_determinant(good: DataFrame, support: float, sized: Sized) -> DataFra
     """Of each group, the estimates of its support set: concentration from each start until no log-determinant changes, then
     the start with the least one."""
     largest = good.groupBy("group").count().agg(F.max("count")).first()[0] or 0
-    own, scale, before, settled = [d for _, d in COORDINATES.values()], _consistency(support), None, []
-    near = _starts(good, sized)
+    own, scale, settled = [d for _, d in COORDINATES.values()], _consistency(support), []
+    near = _starts(good, sized).withColumn("was", F.lit(None).cast("double"))
     for _ in range(MOST_STEPS):
-        now = frozen(_estimates(_closest(near, support, largest, sized), scale, own))
-        moving = now
-        if before is not None:  # what has settled takes no further steps
-            both = frozen(now.join(before.select(*_KEYS, F.col("log_det").alias("_was")), _KEYS, "left"))  # a row for each group and start
-            still = F.abs(F.col("log_det") - F.col("_was")) > SETTLED
-            settled.append(both.where(~still).drop("_was"))
-            moving = both.where(still).drop("_was")
-            if moving.isEmpty():
-                break
-        before, near = now, _with_distance(good, moving, sized, how="inner")
+        now = frozen(_estimates(_closest(near, support, largest, sized), scale, own))  # a row for each group and start that moves
+        still = F.coalesce(F.abs(F.col("log_det") - F.col("was")) > SETTLED, F.lit(True))
+        settled.append(now.where(~still).drop("was"))
+        moving = now.where(still).drop("was")
+        if moving.isEmpty():
+            break
+        near = _with_distance(good, moving.withColumn("was", F.col("log_det")), sized, how="inner")
     else:
         settled.append(moving)
     every = reduce(DataFrame.union, settled)
