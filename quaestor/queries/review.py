@@ -214,6 +214,10 @@ def top_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.top(_found(spark, sf_dir), "rule_id", 10)
 
 
+def top_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.top(_found(spark, sf_dir), "message", 10)
+
+
 def rule_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.coverage(_found(spark, sf_dir))
 
@@ -263,7 +267,7 @@ _FAIL = "FROM found WHERE status = 'fail'"
 QUERIES = {
     f.__name__: f
     for f in (
-        report_counters, findings_default, findings_strict, report_generic_pack, top_failing_refs, status_counts, top_rules, rule_coverage, coverage_gaps, base_refs_per_protocol, theme_findings, experiment_signals,
+        report_counters, findings_default, findings_strict, report_generic_pack, top_failing_refs, status_counts, top_rules, top_messages, rule_coverage, coverage_gaps, base_refs_per_protocol, theme_findings, experiment_signals,
         species_method_status, totals_simplified, surviving_groups,
     )
 }

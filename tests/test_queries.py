@@ -1,9 +1,12 @@
 """Each registered query of the library gives the rows of its SQL."""
 
+from collections import Counter
+
 import duckdb
 import pytest
 
-from quaestor.queries import ORACLE_SQL, QUERIES
+from quaestor.operators import report
+from quaestor.queries import ORACLE_SQL, QUERIES, review
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,6 +24,12 @@ def plain(value):
     return round(value, 6) if isinstance(value, float) else str(value)
 
 
+def test_top_messages(spark):
+    said = Counter(r.message for r in report.findings(review.protocols(spark, SF)).where("status = 'fail'").collect())
+    want = sorted(said.items(), key=lambda x: (-x[1], x[0]))[:10]
+    assert [(r.message, r.n) for r in review.top_messages(spark, SF).collect()] == want
+
+
 @pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, duck, name):
     frame = QUERIES[name](spark, SF)
