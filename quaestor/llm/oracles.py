@@ -39,4 +39,19 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM escaped GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1, "op6_decontaminate": OP6}
+OP13 = """
+WITH h AS (
+  SELECT *, length(t) AS n, sha256('1:' || doc_id) AS h FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+), d AS (
+  SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS y, CAST('0x' || h[17:24] AS BIGINT) % 100 AS cut, CAST('0x' || h[25:32] AS BIGINT) % 100 AS first FROM h
+), c AS (
+  SELECT *, least(x, y) AS a, greatest(x, y) AS b, n > 0 AND t NOT LIKE '%<P>%' AND t NOT LIKE '%<S>%' AND t NOT LIKE '%<M>%' AND cut < 90 AS moved FROM d
+)
+SELECT doc_id, n, CASE WHEN NOT moved THEN 'plain' WHEN first < 20 THEN 'spm' ELSE 'psm' END AS form, CASE WHEN moved THEN a END AS prefix_chars, CASE WHEN moved THEN b - a END AS middle_chars,
+  sha256(CASE WHEN NOT moved THEN t WHEN first < 20 THEN '<S>' || substring(t, b + 1) || '<P>' || left(t, a) || '<M>' || substring(t, a + 1, b - a)
+              ELSE '<P>' || left(t, a) || '<S>' || substring(t, b + 1) || '<M>' || substring(t, a + 1, b - a) END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM c
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1, "op6_decontaminate": OP6, "op13_fill_in_middle": OP13}

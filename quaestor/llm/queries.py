@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, crf, decontam, langid, packing, pii, quality, rules, sharding, simhash
+from . import bins, chat, crf, decontam, fim, langid, packing, pii, quality, repetitions, rules, sharding, simhash
 from .common import crc_mod, table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -79,4 +79,38 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_sharding, op4_toxicity, op5_simhash_dedup, op6_decontaminate, op7_quality_classifier, op8_quality_rules, op9_personal_data, op10_curve_packing)}
+def planted(docs: DataFrame) -> DataFrame:
+    """Documents of which about a tenth, by doc_id, run on as repeats: from word a on, the next p words over and over."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, words = F.floor(h / 10), F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size("words")
+    made = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), g.alias("g")).withColumns({"n": n, "a": (F.col("g") % n).cast("int")})
+    made = made.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    head, period = F.slice("words", 1, F.col("a")), F.slice("words", F.col("a") + 1, F.col("p"))
+    rest = F.slice(F.flatten(F.array_repeat(period, F.ceil((n - F.col("a")) / F.col("p")).cast("int"))), 1, n - F.col("a"))
+    return made.select("doc_id", F.when(n > 0, F.array_join(F.concat(head, rest), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_repetitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repetitions.collapse(planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    longer = lambda r, best: r["length"] * best["period"] > best["length"] * r["period"]
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda best, r: F.when(longer(r, best), r).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.select("doc_id", "runs", best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.floor(1000 * F.col("best.length") / F.col("best.period"))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = bins.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    cut = ("doc_id", "n", "form", "prefix_chars", "middle_chars")
+    back = fim.restore(made.withColumn("output_sha256", F.sha2("output", 256)), keep=(*cut, "output_sha256"))
+    return back.select(*cut, "output_sha256", F.sha2("restored", 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_sharding, op4_toxicity, op5_simhash_dedup, op6_decontaminate, op7_quality_classifier, op8_quality_rules, op9_personal_data, op10_curve_packing, op11_repetitions, op12_best_fit_packing, op13_fill_in_middle)}

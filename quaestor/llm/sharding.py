@@ -40,7 +40,7 @@ def schedule(classes: list[tuple[int, int, int]], shards: int) -> list[tuple[int
     return out
 
 
-def _ranked(df: DataFrame, group: str, order: tuple[str, ...], rank: str) -> DataFrame:
+def ranked(df: DataFrame, group: str, order: tuple[str, ...], rank: str) -> DataFrame:
     """df with each row's place, from 0, within its `group` by `order`. One range sort over group and order, so a large
     group spreads over partitions; a row for each partition and group adds up what lies before."""
     # Fixed once: the places below refer to these very partitions.
@@ -70,9 +70,9 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = frozen(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("key")))
     groups = rows.groupBy("key").agg(F.sum("size").alias("bytes")).withColumn("class", size_class(F.col("bytes")))
-    ranked = frozen(_ranked(groups, "class", ("key",), "rank"))
-    classes = ranked.groupBy("class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()  # bounded, see size_class
+    placed = frozen(ranked(groups, "class", ("key",), "rank"))
+    classes = placed.groupBy("class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()  # bounded, see size_class
     plan = [(name, [sum(counts[: s + 1]) for s in range(shards)]) for name, counts in schedule([tuple(r) for r in classes], shards)]
     plan = docs.sparkSession.createDataFrame(plan, "class long, ends array<long>")
-    placed = ranked.join(F.broadcast(plan), "class").select("key", F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("shard"))
-    return _ranked(rows.join(placed, "key").drop("key"), "shard", ("doc_id", "text_crc32", "size"), "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
+    placed = placed.join(F.broadcast(plan), "class").select("key", F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("shard"))
+    return ranked(rows.join(placed, "key").drop("key"), "shard", ("doc_id", "text_crc32", "size"), "slot").select("doc_id", "size", "text_crc32", "shard", "slot")

@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import tiktoken
+from tokenizers import Tokenizer
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space as that pattern means it, and the blanks of a run from which it is cut out of its text.
@@ -68,3 +69,39 @@ class ByteBPE:
         for part in self._parts(text[at:] if at else text):
             out.extend(part)
         return np.frombuffer(out, dtype=self.dtype)
+
+
+#: Characters whose class, lower case and normal form are the same in every Unicode version: Latin, Cyrillic and common marks.
+_STEADY = re.compile("[\t-\r -~¡-±´-¸º»¿-įı-ǃǍ-ǰǴ-ȠȢ-ʯЀ-҂Ҋ-ԧ–-―‘-•…€]*")
+#: Words of such texts: contractions, letters, single digits, other marks.
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+
+
+class WordBPE:
+    """Ids of texts, as the `tokenizers` library gives them for its JSON file of a byte-level BPE with word ends, over NFC,
+    lower case and words of the usual pattern. Texts of steady characters are cut into words here and encoded by `tiktoken`, in
+    a quarter of the time; other texts, and those with an added token, go to the library as a whole."""
+
+    DTYPE = "<u2"
+
+    def __init__(self, path: str):
+        self._library = Tokenizer.from_file(path)
+        made = json.loads(Path(path).read_text("utf-8"))
+        model, byte_of = made["model"], _byte_of()
+        if model["end_of_word_suffix"] != "</w>" or len(model["vocab"]) > 65_536:
+            raise ValueError(f"{path}: not a BPE with word ends and 16-bit ids")
+        # The end of a word is a byte of its own, a control character that no steady text holds; it is merged first.
+        ranks = {}
+        for token, i in model["vocab"].items():
+            word, end = (token[:-4], b"\x01") if token.endswith("</w>") else (token, b"")
+            if all(c in byte_of for c in word) and word:
+                ranks[bytes(byte_of[c] for c in word) + end] = i
+        self._added = [t["content"] for t in made.get("added_tokens", ())]
+        self._bpe = tiktoken.Encoding(Path(path).stem, pat_str=r"[^\x01]*\x01", mergeable_ranks=ranks, special_tokens={})
+        self.dtype = np.dtype(self.DTYPE)
+
+    def ids(self, text: str) -> np.ndarray:
+        if any(t in text for t in self._added) or not _STEADY.fullmatch(text):
+            return np.array(self._library.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+        words = _WORD.findall(text.lower())
+        return np.array(self._bpe.encode_ordinary("\x01".join([*words, ""])), dtype=self.dtype)
