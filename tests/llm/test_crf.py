@@ -109,17 +109,18 @@ def test_all_rows_below_the_bound_give_weights(spark):
 
 def test_fit_converges(spark):
     """At the end the gradient is gone, and other starts lead to the same marginals; the steps stay below their bound."""
-    rng = np.random.default_rng(3)
-    ids = rng.integers(0, 30, (len(crf.STARTS), 4000)).astype(np.int32)
+    rng, kinds = np.random.default_rng(3), len(crf.STARTS)
+    # Each kind of feature has its own 30 weights; the first kind tells the label, the others are noise.
+    ids = (rng.integers(1, 31, (kinds, 4000)) + 30 * np.arange(kinds)[:, None]).astype(np.int32)
     toxic, first = (np.isin(ids[0], [3, 4, 5]) ^ (rng.random(4000) < 0.05)).astype(float), np.arange(0, 4001, 40)
     made = []
     for start in (0.0, 0.7):
-        model = crf.ToxicityModel(words=np.arange(29, dtype=np.uint64), emissions=np.full((3, 30), start))
+        model = crf.ToxicityModel(words=np.arange(30 * kinds, dtype=np.uint64), emissions=np.full((3, 30 * kinds + 1), start))
         model.emissions[:, 0] = 0
         steps = crf.fit_field(model, ids, toxic, first)
         assert steps < crf.MOST_STEPS
         made.append(crf.marginals(model.potentials(ids, first), first, model.transitions)[0])
-    assert np.abs(made[0] - made[1]).mean() < 0.02 and made[0][toxic == 1].mean() > made[0][toxic == 0].mean() + 0.3
+    assert np.abs(made[0] - made[1]).max() < 0.02 and made[0][toxic == 1].mean() > made[0][toxic == 0].mean() + 0.5
 
 
 def test_rare_toxic_rows(spark):
