@@ -1,6 +1,7 @@
 """Operators that SQL does not cover: against plain Python, or for their edge cases."""
 
 import json
+import time
 import random
 import re
 
@@ -198,7 +199,11 @@ def test_streams_give_the_batch(spark, tmp_path):
     raw = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events = raw.withColumn("ts", F.col("ts").cast("timestamp"))
     source = str(tmp_path / "events")
-    raw.repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(source)
+    first, last = raw.agg(F.min("ts"), F.max("ts")).first()
+    for k in range(3):  # one file after another: a stream takes them by the time they were written
+        third = F.least(F.floor(3 * (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(first).cast("timestamp"))) / (F.unix_micros(F.lit(last).cast("timestamp")) - F.unix_micros(F.lit(first).cast("timestamp")))), F.lit(2))
+        raw.where(third == k).coalesce(1).sortWithinPartitions("ts").write.mode("append").parquet(source)
+        time.sleep(1.1)
     stream = lambda: windows.read_events(spark, source, raw.schema)
     cases = {
         "s": (windows.stream_sessions(stream(), "user_id", "ts", late="1 day"), sessions.sessions(events, "user_id", "ts")),
