@@ -8,11 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import Words, buffers, gram_hashes, word_hashes, words_of
-from .common import frozen, ragged
+from .common import frozen, ragged, stored
 
 WINDOW = 10
 GRAM = 5
@@ -20,8 +21,8 @@ GRAM = 5
 SLICE = 2 << 20
 #: Bytes of the windows' table up to which it is sent to every task; beyond it, fingerprints are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
-#: Bytes of a window beside its words: fingerprint, place, offset, item and item offset.
-ROW_BYTES = 40
+#: Bytes of a window beside its words: fingerprint, place, key, offsets; and of an item beside its id.
+ROW_BYTES, ITEM_BYTES = 48, 8
 _NONE = np.uint64(2**64 - 1)
 
 
@@ -43,7 +44,7 @@ def winnow(words: Words, hashes: np.ndarray, window: int, gram: int) -> tuple[np
     grams = _grams(words, hashes, gram)
     if not len(grams):
         return np.zeros(0, dtype=np.int64), grams
-    span = window - gram + 1
+    span = min(window - gram + 1, len(grams))
     least = grams.copy()
     for k in range(1, span):
         least[:-k] = np.minimum(least[:-k], grams[k:])
@@ -59,13 +60,19 @@ def winnow(words: Words, hashes: np.ndarray, window: int, gram: int) -> tuple[np
 
 @dataclass
 class Windows:
-    """Distinct windows of the benchmark with their items, to look up in documents: by length in words, arrays of equal size,
-    sorted by fingerprint. No Python object per window, so that a task holds about as many bytes as the table has."""
+    """Distinct windows of the benchmark of one length in words, to look up in documents. No Python object per window, so that a
+    task holds about as many bytes as the table has."""
 
-    prints: dict[int, np.ndarray]  # fingerprints
-    back: dict[int, np.ndarray]  # the fingerprint's place in its window
-    words: dict[int, pa.Array]  # the window's words, joined by a blank (binary)
-    items: dict[int, pa.Array]  # the item, dictionary-encoded
+    prints: np.ndarray  # fingerprints, sorted
+    at: dict[int, tuple[np.ndarray, np.ndarray]]  # by the fingerprint's place in its window: sorted keys, and whose they are
+    words: pa.Array  # each window's words, joined by a blank (binary)
+    first: np.ndarray  # where each window's items begin, and their end
+    items: pa.DictionaryArray  # the items of all windows, one window after another
+
+
+def _keys(prints: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """One number for a fingerprint and a hash of all words; windows that share it are told apart by their words."""
+    return prints * np.uint64(0x9E3779B97F4A7C15) ^ whole.view(np.uint64)
 
 
 def item_windows(items: list[tuple[str, bytes]], window: int, gram: int) -> list[tuple[int, int, int, bytes, int, str]]:
@@ -89,21 +96,47 @@ def item_windows(items: list[tuple[str, bytes]], window: int, gram: int) -> list
     return out
 
 
-def _windows(table: pa.Table) -> Windows:
-    """From rows (n, h, back, words, item)."""
-    made = Windows({}, {}, {}, {})
-    lengths = table.column("n").to_numpy()
+def _windows(table: pa.Table) -> dict[int, Windows]:
+    """From rows (n, h, back, whole, words, items), one for each window."""
+    made, lengths = {}, table.column("n").to_numpy()
     for n in sorted(set(lengths.tolist())):
-        own = table.take(pa.array(np.flatnonzero(lengths == n)))
-        prints = own.column("h").to_numpy().view(np.uint64)
-        order = np.argsort(prints, kind="stable")
-        own = own.take(pa.array(order))
-        made.prints[n], made.back[n] = prints[order], own.column("back").to_numpy()
-        made.words[n] = own.column("words").cast(pa.large_binary()).combine_chunks()
-        made.items[n] = own.column("item").combine_chunks().dictionary_encode()
+        own = table.take(pa.array(np.flatnonzero(lengths == n))).combine_chunks()
+        prints, back, whole = own.column("h").to_numpy().view(np.uint64), own.column("back").to_numpy(), own.column("whole").to_numpy()
+        keys, at = _keys(prints, whole), {}
+        for place in np.unique(back).tolist():
+            rows = np.flatnonzero(back == place)
+            rows = rows[np.argsort(keys[rows], kind="stable")]
+            at[place] = (keys[rows], rows)
+        lists = own.column("items")
+        first = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
+        items = pa.chunked_array([pc.list_flatten(lists)] if not isinstance(lists, pa.ChunkedArray) else pc.list_flatten(lists).chunks, pa.string()).combine_chunks()
+        made[n] = Windows(np.sort(prints), at, own.column("words").cast(pa.large_binary()).combine_chunks(), first, items.dictionary_encode())
     return made
 
 
+def _found(windows: Windows, n: int, words: Words, hashes: np.ndarray, at: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, window) of the windows of n words that stand in the texts, given the texts' fingerprints. For each place a
+    fingerprint can have in its window, the words around it are looked up by fingerprint and hash of all of them, at once for
+    all texts; what is found is compared word for word."""
+    known = np.searchsorted(windows.prints, prints, side="right") > np.searchsorted(windows.prints, prints, side="left")
+    at, prints = at[known], prints[known]
+    text = np.searchsorted(words.first, at, side="right") - 1
+    starts, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    whole = gram_hashes(hashes, n) if len(at) else None
+    for back, (keys, own) in windows.at.items() if len(at) else ():
+        s = at - back
+        good = (s >= words.first[text]) & (s + n <= words.first[text + 1])
+        s = s[good]
+        asked = _keys(prints[good], whole[s])
+        low, high = np.searchsorted(keys, asked, side="left"), np.searchsorted(keys, asked, side="right")
+        starts.append(np.repeat(s, high - low))
+        rows.append(own[ragged(low, high - low)])
+    start, row = np.concatenate(starts), np.concatenate(rows)
+    same = [words.text(s, s + n) == windows.words[w].as_py() for s, w in zip(start.tolist(), row.tolist())]
+    same = np.array(same, dtype=bool)
+    return start[same], row[same]
+
+
 def _slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     start = 0
     while start < len(offsets) - 1:
@@ -127,7 +160,7 @@ def _counted(a: int, b: int, words: Words, hit: np.ndarray, items: dict[int, set
     return np.diff(words.first).tolist(), (sums[words.first[1:]] - sums[words.first[:-1]]).tolist(), [sorted(items.get(t, ())) for t in range(b - a)]
 
 
-def _search(windows: Windows, window: int, gram: int):
+def _search(windows: dict[int, Windows], gram: int):
     """Documents (columns..., text) with the counts of _COUNTS in place of the text; each hit of a fingerprint is extended to
     its window and compared word for word."""
 
@@ -136,22 +169,14 @@ def _search(windows: Windows, window: int, gram: int):
             n_words, n_hit, items = [], [], []
             for a, b, words, hashes in _batches_of_words(batch.column("text")):
                 hit, found = np.zeros(len(hashes), dtype=bool), defaultdict(set)
-                for n, keys in windows.prints.items():
-                    at, prints = winnow(words, hashes, n, gram)
-                    low, high = np.searchsorted(keys, prints, side="left"), np.searchsorted(keys, prints, side="right")
-                    some = high > low
-                    text_of = np.searchsorted(words.first, at[some], side="right") - 1
-                    for i, lo, hi, t in zip(at[some].tolist(), low[some].tolist(), high[some].tolist(), text_of.tolist()):
-                        own: dict[int, bytes] = {}
-                        for w in range(lo, hi):
-                            s = i - int(windows.back[n][w])
-                            if s < words.first[t] or s + n > words.first[t + 1]:
-                                continue
-                            if s not in own:
-                                own[s] = words.text(s, s + n)
-                            if windows.words[n][w].as_py() == own[s]:
-                                hit[s : s + n] = True
-                                found[t].add(windows.items[n][w].as_py())
+                for n, own in windows.items():
+                    start, window = _found(own, n, words, hashes, *winnow(words, hashes, n, gram))
+                    hit[ragged(start, np.full(len(start), n))] = True
+                    text = np.searchsorted(words.first, start, side="right") - 1
+                    for t in np.unique(text).tolist():
+                        mine = np.unique(window[text == t])  # a text's window counts once, however often it stands there
+                        codes = np.unique(own.items.indices.to_numpy()[ragged(own.first[mine], own.first[mine + 1] - own.first[mine])])
+                        found[t].update(own.items.dictionary.take(pa.array(codes)).to_pylist())
                 for column, values in zip((n_words, n_hit, items), _counted(a, b, words, hit, found)):
                     column += values
             names = [x for x in batch.schema.names if x != "text"]
@@ -189,27 +214,27 @@ def _prints(lengths: list[int], gram: int):
 
 
 def _verify():
-    """As _search, for documents that come with their candidate windows (start, n, words, item)."""
+    """(key, n_words, n_hit, found) of texts that come with their candidate windows (start, n, words): found are the windows
+    that are equal word for word, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("n", pa.int64()), ("words", pa.binary())]))
         for batch in batches:
-            n_words, n_hit, items = [], [], []
+            n_words, n_hit, found = [], [], []
             tried = batch.column("tried")
             for a, b, words, _ in _batches_of_words(batch.column("text")):
-                hit, found = np.zeros(len(words.start), dtype=bool), defaultdict(set)
+                hit, own = np.zeros(len(words.start), dtype=bool), defaultdict(set)
                 for t in range(b - a):
                     first, last = int(words.first[t]), int(words.first[t + 1])
                     for x in tried[a + t].as_py() or ():
                         s = first + x["start"]
                         if s >= first and s + x["n"] <= last and words.text(s, s + x["n"]) == x["words"]:
                             hit[s : s + x["n"]] = True
-                            found[t].add(x["item"])
-                for column, values in zip((n_words, n_hit, items), _counted(a, b, words, hit, found)):
+                            own[t].add((x["n"], x["words"]))
+                for column, values in zip((n_words, n_hit, found), _counted(a, b, words, hit, own)):
                     column += values
-            names = [x for x in batch.schema.names if x not in ("text", "tried")]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(x) for x in names), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], names=[*names, "n_words", "n_hit", "items"]
-            )
+            windows = pa.array([[{"n": n, "words": w} for n, w in own] for own in found], kind)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), windows], names=["key", "n_words", "n_hit", "found"])
 
     return run
 
@@ -240,23 +265,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text").distinct()
     tests = frozen(items.mapInArrow(lambda batches: _item_table(batches, window, gram), "n long, h long, back long, words binary, whole long, item string").distinct())
-    size = tests.agg(F.sum(F.octet_length("words") + F.octet_length("item") + ROW_BYTES)).first()[0] or 0
+    window_keys = ("n", "h", "back", "whole", "words")
+    sizes = tests.groupBy(*window_keys).agg(F.sum(F.octet_length("item") + ITEM_BYTES).alias("items"))
+    size = sizes.agg(F.sum(F.octet_length("words") + ROW_BYTES + F.col("items"))).first()[0] or 0
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys(("doc_id", *keep))]).alias("row"), "text")
     schema = f"row {rows.schema['row'].dataType.simpleString()}, {_COUNTS}"
     if size <= broadcast_bytes:
-        shared = spark.sparkContext.broadcast(_windows(tests.select("n", "h", "back", "words", "item").toArrow()))
-        out = rows.mapInArrow(lambda batches: _search(shared.value, window, gram)(batches), schema)
+        shared = spark.sparkContext.broadcast(_windows(tests.groupBy(*window_keys).agg(F.collect_list("item").alias("items")).toArrow()))
+        out = rows.mapInArrow(lambda batches: _search(shared.value, gram)(batches), schema)
     else:
-        out = _joined(rows, tests, gram, schema)
+        out = _joined(rows, tests, gram)
     return out.select("row.*", "n_words", "n_hit", "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def _joined(rows: DataFrame, tests: DataFrame, gram: int, schema: str) -> DataFrame:
-    """By a shuffle: texts are keyed by their hash, so that copies are looked at once."""
+def _joined(rows: DataFrame, tests: DataFrame, gram: int) -> DataFrame:
+    """By shuffles: texts are keyed by their hash, so that copies are looked at once. Windows are joined without their items,
+    which follow for the windows that a text holds, each once."""
     lengths = sorted(r[0] for r in tests.select("n").distinct().collect())  # at most as many as a window has words
     keyed = rows.withColumn("key", F.sha2("text", 256))
     texts = keyed.select("key", "text").where("text is not null").dropDuplicates(["key"])
     prints = texts.mapInArrow(_prints(lengths, gram), "key string, n long, h long, back long, whole long, start long")
-    tried = prints.join(tests, ["n", "h", "back", "whole"]).select("key", F.struct("start", "n", "words", "item").alias("x"))
+    tried = prints.join(tests.drop("item").distinct(), ["n", "h", "back", "whole"]).select("key", F.struct("start", "n", "words").alias("x"))
     tried = tried.groupBy("key").agg(F.collect_set("x").alias("tried"))
-    return keyed.join(tried, "key", "left").drop("key").mapInArrow(_verify(), schema)
+    checked = stored(texts.join(tried, "key", "left").mapInArrow(_verify(), "key string, n_words long, n_hit long, found array<struct<n:long,words:binary>>"))
+    items = checked.select("key", F.inline("found")).join(tests.select("n", "words", "item").distinct(), ["n", "words"]).select("key", "item").distinct()
+    items = items.groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    out = keyed.drop("text").join(checked.drop("found"), "key", "left").join(items, "key", "left")
+    nothing = F.array().cast("array<string>")
+    return out.select("row", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_words", "n_hit")], F.coalesce("items", nothing).alias("items"))

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -57,6 +58,25 @@ def test_against_plain_search(spark, limit, monkeypatch):
         assert (r.n_words, r.n_hit, list(r["items"]), r.contaminated) == (n, hit, found, hit > 0)
 
 
+@pytest.mark.parametrize("limit", [1 << 30, 0])
+def test_many_items_share_a_sentence(spark, limit):
+    """20,000 items with one sentence, and a document that repeats it 1,000 times: the windows are looked up once, not item by
+    item (a product would take minutes)."""
+    sentence = "choose the best answer to the question below and explain why"
+    rng = random.Random(1)
+    items = [(i, f"{sentence} {rng.randrange(10**9)} {i}") for i in range(20_000)]
+    docs = [(1, f"{sentence}. " * 1000), (2, items[7][1]), (3, "nothing of it here"), (4, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    made = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench, broadcast_bytes=limit)
+    start = time.time()
+    got = {r.doc_id: r for r in made.collect()}
+    assert time.time() - start < 60
+    every = sorted(str(i) for i, _ in items)
+    assert got[1]["items"] == every and got[1].n_hit == got[1].n_words == 11_000
+    assert got[2]["items"] == every and got[2].n_hit == 13
+    assert [(got[i].n_hit, got[i]["items"]) for i in (3, 4)] == [(0, []), (0, [])]
+
+
 @pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_empty_tables(spark, limit):
     docs, bench = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a b")], "item_id long, text string")
