@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import KEYWORDS, SPECIES_ALIASES
-from ..functions.text import by_alias, contains_any, strip, text
-from ..plans.spec import let
+from ..functions.text import by_alias, contains_any, strip
+from ..plans.spec import compiled
+from .form_experiments import EXPERIMENT_ANIMALS, HOUSING, animals_filled, announced, experiments, method_details  # noqa: F401
+from .form_parts import YES, blocks, fate, pairs_of, rows_under, sex, source, value_of  # noqa: F401
 from .html import with_cells
 
 # Headings (patterns) and labels of the form.
 SECTIONS = {"research": r"^\s*המחקר\s*$", "details": "פרטי המחקר", "pi": r"^\s*החוקר הראשי\s*$", "pi_training": r"^\s*הכשרות החוקר\s*$", "totals": r"בעלי\s*ה?חיים\s*ה?דרושים"}
 RESEARCH = {"title_he": "נושא המחקר בעברית", "title_en": "נושא המחקר באנגלית", "continuation_reason": "סיבה למחקר המשך", "prior_protocol_id": "ציין את מס' הבקשה הקודם"}
 CONTINUATION, CONTINUED = "האם זה מחקר המשך?", "המשך"
-THIRD_PARTY, YES = "המחקר הוא מחקר שרות עבור מוסד צד ג?", "כן"
+THIRD_PARTY = "המחקר הוא מחקר שרות עבור מוסד צד ג?"
 THIRD = {"sponsor_org": "שם המוסד המזמין", "ordering_investigator_name": "שם החוקר המזמין", "sponsor_approver_name": "שם המאשר במוסד המזמין", "declaration_url": "קישור לצרופת הצהרת צד ג'"}
 TERM, SITES, ALL_STEPS = "תוקף האישור המבוקש (שנים)", "אתר ביצוע המחקר", "כל השלבים"
 PURPOSES = {"primary_purpose": "מטרה ראשית", "secondary_purpose": "מטרה משנית"}
@@ -41,56 +43,17 @@ ALTERNATIVES, PRELIMINARY = "חיפוש חלופות", "ניסויים מקדי
 ALTERNATIVE_LABELS = {"engines": "אופן חיפוש חלופות", "queries": "פרוט אופן חיפוש אחר", "conclusion": "תוצאות חיפוש החלופות", "checked": "נבדקו חלופות?"}
 ALTERNATIVE_LINES = {"engines": "מנועים:", "date": "תאריך:", "queries": "שאילתות:", "conclusion": "מסקנה:"}
 PRELIMINARY_LABELS = {"had_alternative_methods": "האם היו שלבים", "details": "פרוט הניסויים"}
-EXPERIMENT = r"ניסוי \d+"
-EXPERIMENT_ANIMALS = {"species": "מין", "species_standard": "מין מובנה", "strain": "זן/קווים", "genetic_status": "סטטוס גנטי", "sex": "זוויג", "n": "כמות", "age": "גיל", "source": "מקור"}
-HOUSING = {"group_housed": "שיכון", "single_housing_reason": "סיבת שיכון בודד", "single_housing_duration_days": "משך שיכון בודד (ימים)"}
-IN_GROUPS = "קבוצתי"
-DESCRIPTION = {
-    "question": "שאלת המחקר|שאלה הספציפית", "rationale": "^הנימוק לבחירת סוג, זן ומין בעל החיים$", "timeline": "תיאור מהלך הניסוי", "analgesia_used": "האם נעשה שימוש במשככי כאבים", "omission": "סיבה לאי שימוש במשככי כאבים",
-    "anesthesia_used": "האם נעשה שימוש בחומרי הרדמה",
-}
-SEXES = {"M": ("זכר",), "F": ("נקבה",), "both": ("זכר, נקבה", "נקבה, זכר"), "unknown": ("לא חשוב", "")}
-SOURCES = {"vendor": ("מקור חיצוני",), "in-house": ("גידול עצמי",), "other": ("אחר",)}
-FATES = {"euthanasia": ("המתה", "euthanized"), "return_to_colony": ("החזרה לגידול",), "rehoming": ("אימוץ",)}
+POSTMORTEM, POSTMORTEM_LINES = "עיבוד לאחר המתה", {"perfusion": "Perfusion:", "fixation": "Fixation:", "clearing_or_special_technique": "Technique:", "chemical_safety_notes": "Safety:"}
+DECLARATION, DECLARED, DECLARED_LINES = "הצהרת החוקר", {"name": "שם החוקר", "date": "תאריך הצהרה"}, {"name": "שם:", "date": "תאריך:"}
+CHAIR, CHAIR_LINES = 'החלטת יו"ר', {"decision": "החלטה:", "comments": "הערות:"}
 DEFAULT_TERM = 4
 #: The protocol's blocks that a page gives.
-BLOCKS = ("header", "research", "third_party", "pi", "participants", "animals_total", "n_justification", "summaries", "alternatives_search", "experiments")
-
-
-def canonical(raw: Column, vocabulary: dict[str, tuple[str, ...]]) -> Column:
-    """The canonical value of a raw one; canonical and unknown values stay as they are."""
-    return F.coalesce(by_alias(text(raw), vocabulary), strip(text(raw)))
-
-
-def sex(raw: Column) -> Column:
-    known = strip(text(raw))
-    return F.when(known.isin("M", "F", "both", "unknown"), known).otherwise(canonical(raw, SEXES))
-
-
-def source(raw: Column) -> Column:
-    """Mixed sources have no value of their own: they are `other`."""
-    return F.when(text(raw).contains(","), "other").otherwise(canonical(raw, SOURCES))
-
-
-def fate(raw: Column) -> Column:
-    known = strip(text(raw))
-    return F.when((known == "") | known.isin(*FATES), known).otherwise(F.coalesce(by_alias(known, FATES), F.lit("other")))
-
-
-def _pairs(cells: Column) -> Column:
-    """Label and value of each row with two cells, with its section: neighbours in the array of cells."""
-    near = F.transform(cells, lambda c, i: F.struct(c.alias("a"), F.get(cells, i + 1).alias("b")))
-    both = F.filter(near, lambda p: (p["a"]["col"] == 0) & (p["b"]["col"] == 1) & (p["a"]["tbl"] == p["b"]["tbl"]) & (p["a"]["row"] == p["b"]["row"]))
-    return F.transform(both, lambda p: F.struct(p["a"]["section"].alias("section"), p["a"]["text"].alias("label"), p["b"]["text"].alias("value")))
-
-
-def _value(found: Column) -> Column:
-    return F.coalesce(F.try_element_at(found, F.lit(-1))["value"], F.lit(""))
+BLOCKS = ("header", "research", "third_party", "pi", "participants", "animals_total", "n_justification", "summaries", "alternatives_search", "experiments", "postmortem_processing", "pi_declaration", "chair_statement")
 
 
 def field(section: str, label: str, exact: bool = True) -> Column:
     """The value at a label of a section, empty if there is none; of repeated labels the last one."""
-    return _value(F.filter("pairs", lambda p: p["section"].rlike(SECTIONS.get(section, section)) & ((p["label"] == label) if exact else p["label"].contains(label))))
+    return value_of(F.filter("pairs", lambda p: p["section"].rlike(SECTIONS.get(section, section)) & ((p["label"] == label) if exact else p["label"].contains(label))))
 
 
 def paragraph(section: str) -> Column:
@@ -98,36 +61,17 @@ def paragraph(section: str) -> Column:
     return F.coalesce(F.get(F.filter("cells", lambda c: (c["kind"] == "text") & (c["text"] != "") & c["section"].rlike(section)), F.lit(0))["text"], F.lit(""))
 
 
+def line(section: str, start: str) -> Column:
+    """What follows a start of line in a section's texts, empty if there is none; of several the last one."""
+    found = F.filter("cells", lambda c: (c["kind"] == "text") & c["section"].rlike(section) & c["text"].startswith(start))
+    return strip(F.replace(F.coalesce(F.try_element_at(found, F.lit(-1))["text"], F.lit("")), F.lit(start), F.lit("")))
+
+
 def table(section: str, labels: dict[str, str]) -> Column:
     """The rows of a section's first table as structs: the cells under the labels, empty where there is none."""
     return rows_under(F.col("cells"), lambda c: c["section"].rlike(SECTIONS[section]), labels)
 
 
-def rows_under(cells: Column, inside, labels: dict[str, str]) -> Column:
-    """The rows of the first table whose cells pass `inside`, see `table`."""
-    own = F.filter(cells, lambda c: inside(c) & c["kind"].isin("td", "th"))
-    first = lambda own: F.filter(own, lambda c: c["tbl"] == F.array_min(F.transform(own, lambda x: x["tbl"])))
-
-    def rows(mine: Column) -> Column:
-        numbers = F.array_sort(F.array_distinct(F.transform(F.filter(mine, lambda c: c["row"] > 0), lambda c: c["row"])))
-
-        def cell(row: Column, label: str) -> Column:
-            col = F.try_element_at(F.filter(mine, lambda c: (c["row"] == 0) & (c["text"] == label)), F.lit(-1))["col"]
-            return F.coalesce(F.try_element_at(F.filter(mine, lambda c: (c["row"] == row) & (c["col"] == col)), F.lit(1))["text"], F.lit(""))
-
-        return F.transform(numbers, lambda r: F.struct(*[cell(r, label).alias(name) for name, label in labels.items()]))
-
-    return let(own, lambda o: let(first(o), rows))
-
-
-def blocks(opens, closes) -> Column:
-    """Runs of cells: each from one that `opens` to the next that opens or closes; (head, cells)."""
-    marks = F.filter(F.transform("cells", lambda c, i: F.when(opens(c) | closes(c), F.struct(i.alias("i"), opens(c).alias("opens"), c["text"].alias("head")))), lambda m: m.isNotNull())
-    end = lambda at, k: F.coalesce(F.get(at, k + 1)["i"], F.size("cells"))
-    cut = lambda at: F.transform(at, lambda m, k: F.when(m["opens"], F.struct(m["head"].alias("head"), F.slice("cells", m["i"] + 2, end(at, k) - m["i"] - 1).alias("cells"))))
-    return F.filter(let(marks, cut), lambda b: b.isNotNull())
-
-
 def participants() -> Column:
     """Each numbered participant with the training tables under its own heading."""
     def one(b: Column) -> Column:
@@ -164,56 +108,37 @@ def alternatives() -> Column:
     """The search for alternatives in both dialects: a table of labels, or lines that begin with a word."""
     labelled = {k: field(ALTERNATIVES, label) for k, label in ALTERNATIVE_LABELS.items()}
 
-    def line(name: str) -> Column:
-        start = ALTERNATIVE_LINES[name]
-        found = F.filter("cells", lambda c: (c["kind"] == "text") & c["section"].rlike(ALTERNATIVES) & c["text"].startswith(start))
-        return strip(F.replace(F.coalesce(F.try_element_at(found, F.lit(-1))["text"], F.lit("")), F.lit(start), F.lit("")))
-
+    said = {k: line(ALTERNATIVES, start) for k, start in ALTERNATIVE_LINES.items()}
     parts = lambda value, mark: F.when(value == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(value, mark), lambda x: strip(x)))
-    engines = F.when(line("engines") != "", parts(line("engines"), ",")).otherwise(F.filter(parts(labelled["engines"], ","), lambda x: x != ""))
-    queries = F.when(line("queries") != "", parts(line("queries"), ";")).otherwise(F.filter(F.array(labelled["queries"]), lambda x: x != ""))
+    engines = F.when(said["engines"] != "", parts(said["engines"], ",")).otherwise(F.filter(parts(labelled["engines"], ","), lambda x: x != ""))
+    queries = F.when(said["queries"] != "", parts(said["queries"], ";")).otherwise(F.filter(F.array(labelled["queries"]), lambda x: x != ""))
     before = {k: field(PRELIMINARY, label, False) for k, label in PRELIMINARY_LABELS.items()}
     asked = F.exists("pairs", lambda p: p["section"].rlike(PRELIMINARY) & (p["label"].contains(PRELIMINARY_LABELS["had_alternative_methods"]) | p["label"].contains(PRELIMINARY_LABELS["details"])))
     return F.struct(
-        engines.alias("engines"), line("date").alias("date"), queries.alias("queries"), F.when(line("conclusion") != "", line("conclusion")).otherwise(labelled["conclusion"]).alias("conclusion"),
+        engines.alias("engines"), said["date"].alias("date"), queries.alias("queries"), F.when(said["conclusion"] != "", said["conclusion"]).otherwise(labelled["conclusion"]).alias("conclusion"),
         F.when(labelled["checked"] != "", labelled["checked"] == YES).alias("alternatives_checked"), F.when(asked, F.struct((before["had_alternative_methods"] == YES).alias("had_alternative_methods"), before["details"].alias("details"))).alias("preliminary_experiments"),
     )
 
 
-def experiments() -> Column:
-    """The numbered experiments: animals, housing and description. The dialect that nests tables is not mapped."""
-    def animals(a: Column) -> Column:
-        age = F.regexp_extract(a["age"], r"(?i)^(\d+(?:\.\d+)?)\s*(?:weeks|days|months)", 1)
-        return F.when(a.isNotNull(), F.struct(
-            a["species"], F.when(a["species_standard"] == "", F.coalesce(by_alias(a["species"], SPECIES_ALIASES), F.lit(""))).otherwise(a["species_standard"]).alias("species_standard"), a["strain"], a["genetic_status"], sex(a["sex"]).alias("sex"),
-            F.when(a["n"] == "", F.lit(0)).when(a["n"].rlike(r"^\s*[+-]?\d{1,9}\s*$"), F.trim(a["n"]).cast("int")).alias("n"), a["source"],
-            F.struct(F.coalesce(F.nullif(age, F.lit("")).cast("double"), F.lit(0.0)).alias("value"), F.lower(F.regexp_extract(a["age"], r"(?i)^\d+(?:\.\d+)?\s*(weeks|days|months)", 1)).alias("unit")).alias("age"),
-        ))
-
-    def one(b: Column) -> Column:
-        # Of the block's tables: the one with a species column, and the one with a housing column.
-        headed = lambda label: F.array_min(F.transform(F.filter(b["cells"], lambda c: (c["row"] == 0) & (c["text"] == label)), lambda c: c["tbl"]))
-        first = lambda label, labels: F.get(rows_under(b["cells"], lambda c: c["tbl"] == headed(label), labels), F.lit(0))
-        housed = first(HOUSING["group_housed"], HOUSING)
-        housing = F.when(housed.isNotNull(), F.struct((housed["group_housed"] == IN_GROUPS).alias("group_housed"), housed["single_housing_reason"], F.coalesce(F.try_to_number(F.nullif(housed["single_housing_duration_days"], F.lit("")), F.lit("99999")).cast("double"), F.lit(0.0)).alias("single_housing_duration_days")))
-
-        def described(pairs: Column) -> Column:
-            own = lambda name: F.try_element_at(F.filter(pairs, lambda p: p["label"].rlike(DESCRIPTION[name])), F.lit(1))["value"]
-            return F.struct(
-                b["head"].alias("label"), own("question").alias("question"), animals(first(EXPERIMENT_ANIMALS["species"], EXPERIMENT_ANIMALS)).alias("animals"), housing.alias("housing"), own("rationale").alias("rationale_species_strain_sex"),
-                F.when(own("timeline").isNotNull(), F.array(F.struct(F.lit("All").alias("day_or_timepoint"), own("timeline").alias("step")))).alias("procedure_timeline"), (own("analgesia_used") == YES).alias("analgesia_used"),
-                own("omission").alias("analgesia_justification_for_omission"), (own("anesthesia_used") == YES).alias("anesthesia_used"),
-            )
-
-        return let(_pairs(b["cells"]), described)
+def closing() -> dict[str, Column]:
+    """Processing after death, the investigator's declaration and the chair's statement; null values for what is not said."""
+    def filled(value: Column) -> Column:
+        return F.nullif(value, F.lit(""))
 
-    return F.transform(blocks(lambda c: (c["kind"] == "sub-header") & c["text"].rlike(EXPERIMENT), lambda c: c["kind"] == "sub-header"), one)
+    worked = F.exists("cells", lambda c: (c["kind"] == "sub-header") & c["text"].contains(POSTMORTEM))
+    declared = {k: F.coalesce(filled(field(DECLARATION, DECLARED[k])), filled(line(DECLARATION, DECLARED_LINES[k]))) for k in DECLARED}
+    return {
+        "postmortem_processing": F.struct(F.coalesce(worked, F.lit(False)).alias("used"), *[filled(line(POSTMORTEM, start)).alias(k) for k, start in POSTMORTEM_LINES.items()]),
+        "pi_declaration": F.struct(*[v.alias(k) for k, v in declared.items()], F.array().cast("array<string>").alias("affirmations")),
+        "chair_statement": F.struct(*[filled(line(CHAIR, start)).alias(k) for k, start in CHAIR_LINES.items()]),
+    }
 
 
 def extract(pages: DataFrame, key: str, html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(protocol_id, kept columns, BLOCKS, error) of form exports. A quantity that is no whole number rejects the page: its
-    blocks are null and `error` says so. Of experiments, the numbered ones are mapped, see `experiments`."""
-    rows = with_cells(pages.select(F.col(key).cast("string").alias("protocol_id"), F.col(html).alias("html"), *keep)).withColumn("pairs", _pairs(F.col("cells")))
+    """(protocol_id, kept columns, BLOCKS, error) of form exports. A quantity that is no whole number rejects the page, and so do
+    headings of experiments under which there is none to read: its blocks are null and `error` says so. What totals and the
+    justification of numbers leave out is taken from the experiments."""
+    rows = with_cells(pages.select(F.col(key).cast("string").alias("protocol_id"), F.col(html).alias("html"), *keep)).withColumn("pairs", pairs_of(F.col("cells")))
     titles = F.lower(F.concat_ws(" ", field("research", RESEARCH["title_he"]), field("research", RESEARCH["title_en"])))
     sites = F.filter(F.transform(F.split(field("research", SITES), ","), lambda x: F.trim(x)), lambda x: x != "")
     research = F.struct(
@@ -239,8 +164,11 @@ def extract(pages: DataFrame, key: str, html: str = "html", keep: tuple[str, ...
     header = F.struct(head("protocol_id").alias("protocol_id"), head("institution").alias("institution"), F.lit("").alias("subcommittee"), F.lit("2.0.0").alias("export_version"))
     made = rows.select(
         "protocol_id", *keep, header.alias("header"), research.alias("research"), third.alias("third_party"), pi.alias("pi"), participants().alias("participants"), F.transform(raw, total).alias("animals_total"),
-        justification().alias("n_justification"), summaries().alias("summaries"), alternatives().alias("alternatives_search"), experiments().alias("experiments"),
+        justification().alias("n_justification"), summaries().alias("summaries"), alternatives().alias("alternatives_search"), compiled(pages.sparkSession, "form experiments", experiments).alias("experiments"),
+        *[v.alias(k) for k, v in closing().items()], announced().alias("announced"),
     )
     bad = F.coalesce(F.exists("animals_total", lambda t: t["n_total"].isNull()), F.lit(False)) | F.coalesce(F.exists("experiments", lambda e: e["animals"].isNotNull() & e["animals"]["n"].isNull()), F.lit(False))
-    made = made.withColumn("error", F.when(bad, "quantity is not a whole number"))
+    unread = F.col("announced") & (F.size("experiments") == 0)
+    made = made.withColumn("error", F.when(bad, "quantity is not a whole number").when(unread, "experiments could not be read"))
+    made = made.withColumns({"animals_total": animals_filled(F.col("animals_total"), F.col("experiments")), "n_justification": method_details(F.col("n_justification"), F.col("experiments"))})
     return made.select("protocol_id", *keep, *[F.when(F.col("error").isNull(), F.col(b)).alias(b) for b in BLOCKS], "error")

@@ -11,22 +11,26 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse
 
-_CELL = pa.list_(pa.struct([("section", pa.string()), ("tbl", pa.int32()), ("row", pa.int32()), ("col", pa.int32()), ("kind", pa.string()), ("text", pa.string())]))
-CELLS = "array<struct<section:string,tbl:int,row:int,col:int,kind:string,text:string>>"
+_PLACES = ("tbl", "row", "col", "up", "up_row", "up_col")
+_CELL = pa.list_(pa.struct([("section", pa.string()), *((x, pa.int32()) for x in _PLACES), ("kind", pa.string()), ("label", pa.string()), ("text", pa.string())]))
+CELLS = f"array<struct<section:string,{','.join(f'{x}:int' for x in _PLACES)},kind:string,label:string,text:string>>"
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "title"}
 _BLOCKS = {"p", "li", "div"}
 _SILENT = {"script", "style", "noscript"}
 
 
 class _Cells(HTMLParser):
-    """Collects cells: headings, and divs of the header classes, open a section; th and td belong to the innermost table; a new cell,
-    row or block closes what is open, so unclosed tags do no harm."""
+    """Collects cells: headings, and divs of the header classes, open a section; th and td belong to the innermost table (tbl, row,
+    col), which lies in a cell of another one (up, up_row, up_col), if it is nested; the second, fourth and so on of a row,
+    if no header cells, have the text of the one before as their label; a new cell, row or block closes what is
+    open, so unclosed tags do no harm."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.cells: list[dict] = []
-        self.section, self.tables, self.row, self.col = "", 0, -1, -1
-        self.open: list[int] = []
+        self.section, self.tables = "", 0
+        self.open = [dict.fromkeys(_PLACES, -1)]  # the places of the tables that are open; the first is none
+        self.before: dict[int, str] = {}  # of each table, the cell before
         self.kind: str | None = None
         self.parts: list[str] = []
         self.silent = 0
@@ -36,8 +40,12 @@ class _Cells(HTMLParser):
         if self.kind in ("heading", "sub-header", "title") and text:
             self.section = text
         if self.kind and (text or self.kind in ("td", "th")):
-            inside = self.kind in ("td", "th")
-            self.cells.append({"section": self.section, "tbl": self.open[-1] if inside and self.open else -1, "row": self.row if inside else -1, "col": self.col if inside else -1, "kind": self.kind, "text": text})
+            place, label = dict.fromkeys(_PLACES, -1), None
+            if self.kind in ("td", "th"):
+                place = self.open[-1]
+                label = self.before.get(place["tbl"]) if place["col"] % 2 and self.kind == "td" else None
+                self.before[place["tbl"]] = text if self.kind == "td" else ""
+            self.cells.append({"section": self.section, **place, "kind": self.kind, "label": label, "text": text})
         self.kind, self.parts = None, []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -46,14 +54,17 @@ class _Cells(HTMLParser):
             self.silent += 1
         elif tag == "table":
             self.close_cell()
-            self.open.append(self.tables)
-            self.tables, self.row = self.tables + 1, -1
+            around = self.open[-1]
+            self.open.append({"tbl": self.tables, "row": -1, "col": -1, "up": around["tbl"], "up_row": around["row"], "up_col": around["col"]})
+            self.tables += 1
         elif tag == "tr":
             self.close_cell()
-            self.row, self.col = self.row + 1, -1
+            self.open[-1]["row"] += 1
+            self.open[-1]["col"] = -1
         elif tag in ("td", "th"):
             self.close_cell()
-            self.kind, self.col = tag, self.col + 1
+            self.kind = tag
+            self.open[-1]["col"] += 1
         elif tag in _HEADINGS or tag == "div" and {"header", "sub-header", "table-header"} & set(names):
             self.close_cell()
             self.kind = "title" if tag == "title" else "sub-header" if "sub-header" in names else "heading"
@@ -68,7 +79,7 @@ class _Cells(HTMLParser):
             self.silent = max(0, self.silent - 1)
         elif tag == "table":
             self.close_cell()
-            if self.open:
+            if len(self.open) > 1:
                 self.open.pop()
         elif tag in ("td", "th", "tr") or tag in _HEADINGS or tag in _BLOCKS and self.kind not in ("td", "th"):
             self.close_cell()
