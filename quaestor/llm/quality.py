@@ -129,12 +129,13 @@ def _with_distance(rows: DataFrame, estimates: DataFrame, sized: Sized, of: str
     return rows.select(*own).join(sized(estimates), "group", how).select(*own, "start", *before, sum((y * y for y in solved[1:]), solved[0] * solved[0]).alias("d2"))
 
 
-def _closest(near: DataFrame, share: float, largest: int, sized: Sized) -> DataFrame:
+def _closest(near: DataFrame, share: float, largest: int, sized: Sized, direct: bool = False) -> DataFrame:
     """Of each group and start, the given share of rows (rounded up) with the smallest distances, and those that tie with the
     last of them. The order statistic is exact: quantile sketches bracket it, once more for each GRID / 2 times that the
-    largest group exceeds a bracket, and the few distances of the last bracket are sorted."""
+    largest group exceeds a bracket (not at all if `direct`), and in the last bracket rows are counted by distance. Rows that
+    tie are one count: strictly between two quantiles lie no more distances than there are ranks, whatever ties."""
     bounds, left = None, largest
-    while bounds is None or left > BRACKET:
+    while not direct and (bounds is None or left > BRACKET):
         if bounds is None:
             # The rank is the same share of each group here, so two quantiles around it do.
             edges = F.array(F.lit(max(share - 1 / GRID, 0.0)), F.lit(min(share + 1 / GRID, 1.0)))
@@ -147,9 +148,23 @@ def _closest(near: DataFrame, share: float, largest: int, sized: Sized) -> DataF
             at = F.floor((F.col("k") - F.col("below")) / F.col("n") * GRID).cast("int")
             bounds = found.select(*_KEYS, "k", F.when(at > 1, F.get("q", at - 1)).otherwise(-1.0).alias("lo"), F.coalesce(F.get("q", at + 2), F.lit(float("inf"))).alias("hi"))
         left = left * 4 // GRID
-    inside = F.col("d2").between(F.col("lo"), F.col("hi"))
-    last = near.join(sized(bounds), _KEYS).groupBy(*_KEYS).agg(F.array_sort(F.collect_list(F.when(inside, F.col("d2")))).alias("d"), (F.first("k") - F.count_if(F.col("d2") < F.col("lo"))).cast("int").alias("i"))
-    return near.join(sized(last.select(*_KEYS, F.get("d", F.col("i") - 1).alias("edge"))), _KEYS).where("d2 <= edge").drop("edge")
+    last = _levels(near, bounds, share, sized)
+    first = F.struct((F.col("k") - F.col("below")).alias("left"), F.lit(None).cast("double").alias("edge"))
+    edge = F.aggregate("levels", first, lambda acc, x: F.when(acc["left"] > 0, F.struct((acc["left"] - x["n"]).alias("left"), x["v"].alias("edge"))).otherwise(acc), lambda acc: acc["edge"])
+    return near.join(sized(last.select(*_KEYS, edge.alias("edge"))), _KEYS).where("d2 <= edge").drop("edge")
+
+
+def _levels(near: DataFrame, bounds: DataFrame | None, share: float, sized: Sized) -> DataFrame:
+    """For each group and start: k, the rank that is sought, `below`, how many rows lie below the bracket, and `levels`, the
+    distances in it, each once, in order, with how many rows have it. Counts combine before the shuffle."""
+    if bounds is None:
+        counted = near.groupBy(*_KEYS, F.col("d2").alias("v")).agg(F.count("*").alias("n")).withColumns({"less": F.lit(False), "k": F.lit(None).cast("long")})
+    else:
+        v, less = F.when(F.col("d2").between(F.col("lo"), F.col("hi")), F.col("d2")), F.col("d2") < F.col("lo")
+        counted = near.join(sized(bounds), _KEYS).groupBy(*_KEYS, v.alias("v"), less.alias("less")).agg(F.count("*").alias("n"), F.first("k").alias("k"))
+    levels = F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("v", "n"))))
+    rank = F.coalesce(F.first("k"), F.ceil(F.sum("n") * share))
+    return counted.groupBy(*_KEYS).agg(rank.alias("k"), F.coalesce(F.sum(F.when(F.col("less"), F.col("n"))), F.lit(0)).alias("below"), levels.alias("levels"))
 
 
 def _starts(good: DataFrame, sized: Sized) -> DataFrame:
@@ -176,11 +191,11 @@ def _starts(good: DataFrame, sized: Sized) -> DataFrame:
 def _least_determinant(good: DataFrame, support: float, sized: Sized) -> DataFrame:
     """Of each group, the estimates of its support set: concentration from each start until no log-determinant changes, then
     the start with the least one."""
-    largest = good.groupBy("group").count().agg(F.max("count")).first()[0] or 0
+    largest, total = good.groupBy("group").count().agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
     own, scale, settled = [d for _, d in COORDINATES.values()], _consistency(support), []
     near = _starts(good, sized).withColumn("was", F.lit(None).cast("double"))
     for _ in range(MOST_STEPS):
-        now = frozen(_estimates(_closest(near, support, largest, sized), scale, own))  # a row for each group and start that moves
+        now = frozen(_estimates(_closest(near, support, largest, sized, total <= BRACKET), scale, own))  # a row for each group and start that moves
         still = F.coalesce(F.abs(F.col("log_det") - F.col("was")) > SETTLED, F.lit(True))
         settled.append(now.where(~still).drop("was"))
         moving = now.where(still).drop("was")

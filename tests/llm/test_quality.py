@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,5 +121,29 @@ def test_closest_is_exact(spark, monkeypatch, bracket):
         assert got[k] == ((x <= edge).sum(), edge)
 
 
+def test_ties_are_counted_and_not_gathered(spark, monkeypatch):
+    """300,000 distances of which half are equal, at the rank that is sought or beside it: a bracket holds no more distances
+    than its bound, and the edge is exact."""
+    rng = np.random.default_rng(3)
+    seen = []
+    levels = quality._levels
+
+    def watched(*given):
+        made = levels(*given)
+        seen.append(made.agg(F.max(F.size("levels"))).first()[0])
+        return made
+
+    monkeypatch.setattr(quality, "_levels", watched)
+    x = np.concatenate([rng.chisquare(5, 150_000), np.full(150_000, 1.0)])
+    y = np.concatenate([rng.chisquare(5, 150_000), np.full(150_000, 6.0)])
+    near = spark.createDataFrame(pd.DataFrame({"group": ["a"] * 300_000 + ["b"] * 300_000, "start": "s", "d2": np.concatenate([x, y])})).repartition(4)
+    for share in (0.5, 0.75):
+        got = {r.group: (r.n, r.top) for r in quality._closest(near, share, 300_000, lambda df: df).groupBy("group").agg(F.count("*").alias("n"), F.max("d2").alias("top")).collect()}
+        for k, v in (("a", x), ("b", y)):
+            edge = np.sort(v)[int(np.ceil(len(v) * share)) - 1]
+            assert got[k] == ((v <= edge).sum(), edge)
+    assert max(seen) <= quality.BRACKET
+
+
 def test_empty_table(spark):
     assert quality.judge(spark.createDataFrame([], SCHEMA)).collect() == []
