@@ -117,3 +117,17 @@ def lint(protocols: DataFrame, profiles: tuple[str, ...] = PROFILES, pack: str =
     """(findings, reports, signals) of protocols."""
     found = findings(protocols, profiles)
     return found, reports(protocols, pack, profiles), ex.signals(ex.experiments(protocols))
+
+
+def feature_summary(protocols: DataFrame) -> DataFrame:
+    """(protocol_id, n_total_all_experiments, num_experiments, sexes_seen, single_sex_design, is_colony, alternatives_present,
+    engines_count, queries_count, conclusion_length): what prompts and dashboards ask of a protocol, within its row."""
+    found = F.coalesce("experiments", F.array().cast(protocols.schema["experiments"].dataType))
+    sexes = F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda e: e["animals"]["sex"]), lambda x: x != "")))
+    search = F.col("alternatives_search")
+    counted = lambda name: F.coalesce(F.size(search[name]), F.lit(0))
+    return protocols.select(
+        "protocol_id", F.aggregate(found, F.lit(0).cast("long"), lambda n, e: n + F.coalesce(e["animals"]["n"], F.lit(0))).alias("n_total_all_experiments"), F.size(found).alias("num_experiments"), sexes.alias("sexes_seen"),
+        ((F.size(sexes) == 1) & F.get(sexes, F.lit(0)).isin("M", "F")).alias("single_sex_design"), F.coalesce("is_colony", F.lit(False)).alias("is_colony"),
+        (F.to_json(search) != "{}").alias("alternatives_present"), counted("engines").alias("engines_count"), counted("queries").alias("queries_count"), F.length(F.trim(F.coalesce(search["conclusion"], F.lit("")))).alias("conclusion_length"),
+    ).withColumns({"single_sex_design": F.coalesce("single_sex_design", F.lit(False)), "alternatives_present": F.coalesce("alternatives_present", F.lit(False))})

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import text as tx
-from ..operators import catalog, chunks, evaluation, feedback, reconcile, search, sessions, verdicts
+from ..operators import catalog, chunks, evaluation, feedback, reconcile, report, search, sections, sessions, verdicts
 from ..schema import REQUIRED
-from ..sources import html
+from ..sources import form_experiments, html
 from .review import protocols
 
 WORD = r"[\p{L}\p{N}_]"
@@ -494,3 +494,64 @@ def json_recovery(spark, sf_dir):
 @_query("SELECT doc_id, CASE WHEN n_chars // 4 > 800 THEN 'overflow' WHEN (n_chars // 4) * 100 >= 800 * 85 THEN 'warn' ELSE 'ok' END AS budget FROM documents")
 def context_budget(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", verdicts.context_budget(F.col("n_chars"), 800).alias("budget"))
+
+
+# Sections, fingerprints and aggregates of round three
+
+
+@_query()
+def shaped_sections(spark, sf_dir):
+    """Sections by the shape of their headings; tested against a plain twin."""
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(sections.shaped(F.col("text"))).alias("section_no", "s"))
+    return rows.select("doc_id", "section_no", "s.heading", F.size("s.body").alias("n_lines"), F.sha2(F.array_join("s.body", "\n"), 256).alias("sha"))
+
+
+@_query()
+def guidance_records(spark, sf_dir):
+    return sections.guidance(_t(spark, sf_dir, "documents"), "doc_id", "text", "he").select("doc_id", "section_no", "chunk_no", "id", "sha")
+
+
+_PART = "CAST(sum(CAST('0x' || h[{}:{}] AS UBIGINT)) AS VARCHAR)"
+
+
+@_query(f"""SELECT sha256(concat_ws(',', {', '.join(_PART.format(16 * i + 1, 16 * i + 16) for i in range(4))}, CAST(count(*) AS VARCHAR)))[1:16] AS fingerprint
+   FROM (SELECT sha256(concat(length(CAST(doc_id AS VARCHAR)), ':', doc_id, coalesce(length(source) || ':' || source, '-'), coalesce(length(text) || ':' || text, '-'))) AS h FROM documents)""")
+def corpus_fingerprint(spark, sf_dir):
+    return search.fingerprint(_t(spark, sf_dir, "documents"), "doc_id", "source", "text")
+
+
+@_query("""SELECT CAST(conv_id AS VARCHAR) AS protocol_id, CAST(sum(length(text) % 30) AS BIGINT) AS n_total_all_experiments, CAST(count(*) AS INTEGER) AS num_experiments,
+   string_agg(DISTINCT s, '|' ORDER BY s) AS sexes_seen, count(DISTINCT s) = 1 AS single_sex_design, false AS is_colony, conv_id % 3 > 0 AS alternatives_present,
+   CAST(conv_id % 3 > 0 AS INTEGER) AS engines_count, CAST(conv_id % 3 = 2 AS INTEGER) AS queries_count, CASE WHEN conv_id % 3 = 2 THEN 4 ELSE 0 END AS conclusion_length
+   FROM (SELECT *, CASE WHEN conv_id % 3 = 1 AND turn % 2 = 1 THEN 'F' ELSE 'M' END AS s FROM conversations) GROUP BY conv_id""")
+def feature_summary(spark, sf_dir):
+    return report.feature_summary(protocols(spark, sf_dir)).withColumn("sexes_seen", F.array_join("sexes_seen", "|"))
+
+
+_AGE_WORDS = {"יום": ("days", 1), "שבועות": ("weeks", 7), "חודשים": ("months", 30), "?": ("?", None)}
+
+
+@_query("""WITH g AS (
+   SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k, l_linenumber AS line, l_linestatus AS species, l_returnflag AS strain, l_linenumber % 2 AS male, CAST(l_quantity AS INTEGER) AS n, CAST(l_partkey % 50 AS DOUBLE) AS age,
+     ['days', 'weeks', 'months', '?'][CAST(l_suppkey % 4 AS INTEGER) + 1] AS unit, [1, 7, 30, NULL][CAST(l_suppkey % 4 AS INTEGER) + 1] * CAST(l_partkey % 50 AS DOUBLE) AS days, l_partkey % 3 AS w
+   FROM lineitem
+ ) SELECT o AS l_orderkey, string_agg(DISTINCT species, ', ' ORDER BY species) AS species, string_agg(DISTINCT strain, ', ' ORDER BY strain) AS strain,
+   CASE WHEN count(DISTINCT male) = 2 THEN 'both' WHEN max(male) = 1 THEN 'M' ELSE 'F' END AS sex, CAST(sum(n) AS INTEGER) AS n,
+   coalesce(arg_min(age, days * 100 + k) FILTER (days IS NOT NULL), arg_max(age, k)) AS age_value, coalesce(arg_min(unit, days * 100 + k) FILTER (days IS NOT NULL), arg_max(unit, k)) AS age_unit,
+   arg_max(CAST(line AS DOUBLE), k) FILTER (w > 0) AS weight_value, arg_max(CASE w WHEN 1 THEN 'g' ELSE 'kg' END, k) FILTER (w > 0) AS weight_unit, CAST(CASE WHEN count(*) > 1 THEN count(*) ELSE 0 END AS INTEGER) AS n_groups
+ FROM g GROUP BY o""")
+def animal_groups(spark, sf_dir):
+    """The groups of an experiment's animals as one: joined sets, the sum, the least age over units, the last weight that is given."""
+    word = F.get(F.array(*map(F.lit, _AGE_WORDS)), F.expr("cast(l_suppkey % 4 as int)"))
+    weight = F.when(F.col("l_partkey") % 3 > 0, F.col("l_linenumber").cast("string")).otherwise("")
+    values = {
+        "species": F.col("l_linestatus"), "strain": F.col("l_returnflag"), "sex": F.when(F.col("l_linenumber") % 2 == 1, "זכר").otherwise("נקבה"), "n": F.col("l_quantity").cast("int").cast("string"),
+        "age": (F.col("l_partkey") % 50).cast("string"), "age_unit": word, "weight": weight, "weight_unit": F.when(F.col("l_partkey") % 3 == 1, "גרם").otherwise('ק"ג'), "genetic_modification": F.lit("לא"), "source": F.lit("אחר"), "supplier": F.lit(""),
+    }
+    group = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.struct(*[values[k].alias(k) for k in form_experiments.GROUP]).alias("g"))
+    rows = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(group)).alias("own"))
+    made = rows.select("l_orderkey", form_experiments.aggregated(F.transform("own", lambda x: x["g"])).alias("a"))
+    return made.select(
+        "l_orderkey", "a.species", "a.strain", "a.sex", "a.n", F.col("a.age.value").alias("age_value"), F.col("a.age.unit").alias("age_unit"), F.col("a.weight.value").alias("weight_value"), F.col("a.weight.unit").alias("weight_unit"),
+        F.coalesce(F.size("a.groups"), F.lit(0)).alias("n_groups"),
+    )
