@@ -33,7 +33,7 @@ def _lines(text: Column) -> Column:
 
 
 def _strip(value: Column) -> Column:
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(value, r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def normalised_he(line: Column) -> Column:
@@ -44,14 +44,14 @@ def normalised_he(line: Column) -> Column:
 
     def ruled(turned: Column) -> Column:
         made = F.regexp_replace(turned, pattern, _HELD)
-        for rule, by in ((r"(?U)\s+([.,;:!?])", "$1"), (r"(?U)([.,;:!?])(?=[^\s\d.,;:!?)\]\x00])", "$1 "), (r"(?U)(\d)(?=[א-ת])", "$1 ")):
+        for rule, by in ((r"(?U)(?<!\s)\s++([.,;:!?])", "$1"), (r"(?U)([.,;:!?])(?=[^\s\d.,;:!?)\]\x00])", "$1 "), (r"(?U)(\d)(?=[א-ת])", "$1 ")):
             made = F.regexp_replace(made, rule, by)
         # Pieces between the held places, and what is held, in turn.
         held = F.regexp_extract_all(turned, F.lit(pattern), F.lit(0))
         both = F.zip_with(F.split(made, _HELD, -1), held, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
         return F.array_join(both, "")
 
-    return _strip(F.regexp_replace(let(turned, ruled), r"(?U)\s{2,}", " "))
+    return _strip(F.regexp_replace(let(turned, ruled), r"(?U)\s{2,}+", " "))
 
 
 def _numbered(rows: Column) -> Column:
@@ -69,7 +69,7 @@ def marked(text: Column) -> Column:
     Headings of one level that follow each other, with blank lines between at most, are one heading if the first ends in the
     middle of a phrase, or the next one is a short tail that is no part or subsection of its own. The path is the last heading
     of the first level (before any, the first heading) and the section's own."""
-    lines = F.transform(_lines(text), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
+    lines = F.transform(_lines(text), lambda x: F.regexp_replace(x, r"(?U)(?<!\s)\s++$", ""))
     level = lambda x: F.length(F.regexp_extract(x, "^(#*)", 1))
     told = lambda ls: F.filter(_numbered(F.transform(ls, lambda x: F.struct(x.alias("line")))), lambda x: F.regexp_replace(x["line"], r"(?U)\s", "") != "")
     start = F.expr("named_struct('done', cast(array() as array<struct<i:int,last:int,level:int,title:string>>), 'open', cast(null as struct<i:int,last:int,level:int,title:string>), 'k', cast(-2 as int))")

@@ -122,9 +122,9 @@ def test_ids_of_repeated_headings(spark):
 
 
 def test_very_long_lines(spark):
-    lines = ["latin words " * 100_000, "א ,ב " * 100_000, " " * 200_000 + "א"]
+    lines = ["latin words " * 100_000, "א ,ב " * 100_000, " " * 200_000 + "א" + " " * 200_000 + "ב"]
     got = [r.x for r in spark.createDataFrame(list(enumerate(lines)), "k long, t string").orderBy("k").select(sections.normalised_he(F.col("t")).alias("x")).collect()]
-    assert got == [twin_line(x) for x in lines]
+    assert got == [*map(twin_line, lines[:2]), "א ב"]
 
 
 def test_fingerprint(spark):
