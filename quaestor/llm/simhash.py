@@ -171,5 +171,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def point_links(texts: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """For texts (point long, text), a text's copies under its own point: links (a, b) that connect all points whose
+    fingerprints are connected by steps of at most `radius` bits."""
+    prints = frozen(with_fingerprints(texts.select(F.col("point").alias("doc_id"), "text")).distinct())
+    heads = frozen(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    equal = prints.join(heads, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    return equal.union(close_links(heads, radius, tile=tile))
+
+
 def fingerprint_hex(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -11,7 +11,7 @@ from test_decontam import plain as plain_contamination
 from test_pii import plain as plain_spans
 from tokenizers import Tokenizer
 
-from quaestor.llm import langid
+from quaestor.llm import langid, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,6 +77,23 @@ def test_near_duplicates(stages):
     assert sorted(str(r.doc_id) for r in after) == sorted(str(rows[i].doc_id) for i in range(len(rows)) if find(i) == i)
 
 
+def test_links_of_both_kinds(spark):
+    """Operator 5's links count, though five-word shingles differ: texts that repeat a sentence and end differently. So do
+    links that its fingerprints miss, and chains of both."""
+    tail = lambda t, n=40: " ".join(f"{t}{k}" for k in range(n))
+    same = "one two three four five six seven " * 200
+    words = [f"w{k}" for k in range(400)]
+    near = [("x" if k % 50 == 7 else w) for k, w in enumerate(words)]  # 8 words of 400
+    rows = [(1, same + tail("a")), (2, same + tail("b")), (3, tail("c", 400)), (4, " ".join(words)), (5, " ".join(near)), (6, same + tail("b") + " z"), (7, tail("a")), (8, tail("b"))]
+    prints = {i: simhash.fingerprint(t) for i, t in rows}
+    assert (prints[1] ^ prints[2]).bit_count() <= simhash.RADIUS < (prints[4] ^ prints[5]).bit_count()
+    a, b = (set(plain_shingles(rows[k][1])) for k in (0, 1))
+    assert 10 * len(a & b) < 8 * len(a | b)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 7, 8]
+
+
 def test_decontamination(spark, stages):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     before, after = stages[2][1], stages[3][1]
