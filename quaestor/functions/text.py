@@ -74,12 +74,20 @@ def percent_below(value: Column, limit: float) -> Column:
     return F.exists(F.regexp_extract_all(value, F.lit(r"(\d+(?:\.\d+)?)\s*%"), F.lit(1)), lambda x: x.cast("double") < limit)
 
 
+def looked_up(value: Column, table: dict) -> Column:
+    """The table's entry for the text, lower-cased and stripped; null for others. A text that is a key as it stands takes
+    neither."""
+    entries = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.coalesce(F.try_element_at(entries, value), F.try_element_at(entries, F.lower(strip(value))))
+
+
 def by_alias(value: Column, aliases: dict[str, tuple[str, ...]]) -> Column:
     """The key whose alias the text is, lower-cased and stripped; null for others."""
-    known, out = F.lower(strip(value)), None
+    keys: dict[str, str] = {}
     for key, names in aliases.items():
-        out = F.when(known.isin(*names), key) if out is None else out.when(known.isin(*names), key)
-    return out
+        for name in names:
+            keys.setdefault(name, key)
+    return looked_up(value, keys)
 
 
 def species_key(standard: Column, raw: Column) -> Column:
@@ -111,10 +119,7 @@ def per_species(species: Column, values: dict[str, float]) -> Column:
 
 
 def age_days(age: Column) -> Column:
-    unit, factor = F.lower(strip(text(age["unit"]))), F.lit(None).cast("double")
-    for name, days in DAYS_PER_UNIT.items():
-        factor = F.when(unit == name, float(days)).otherwise(factor)
-    return age["value"] * factor
+    return age["value"] * looked_up(text(age["unit"]), {name: float(days) for name, days in DAYS_PER_UNIT.items()})
 
 
 def weight_grams(weight: Column) -> Column:

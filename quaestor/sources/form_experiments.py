@@ -84,17 +84,16 @@ def aggregated(groups: Column) -> Column:
         F.when(g["weight"] != "", quantity(decimal(g["weight"]), unit(g["weight_unit"], WEIGHT_UNITS))).alias("weight"), g["genetic_modification"], g["source"], g["supplier"],
     )
 
-    def made(groups: Column, own: Column) -> Column:
+    def made(groups: Column, own: Column, species: Column) -> Column:
         aged = F.filter(F.transform(own, lambda g, i: F.struct(age_days(g["age"]).alias("days"), i.alias("i"), g["age"].alias("age"))), lambda a: a["days"].isNotNull())
         weighed = F.try_element_at(F.filter(own, lambda g: g["weight"].isNotNull()), F.lit(-1))["weight"]
-        species = _set(groups, "species")
         return F.struct(
             species.alias("species"), F.coalesce(by_alias(species, SPECIES_ALIASES), F.lit("")).alias("species_standard"), _set(groups, "strain").alias("strain"), _set(groups, "genetic_modification").alias("genetic_status"),
             sex(_set(groups, "sex")).alias("sex"), F.aggregate(own, F.lit(0), lambda n, g: n + g["n"]).alias("n"), F.coalesce(F.array_min(aged)["age"], F.try_element_at(own, F.lit(-1))["age"]).alias("age"),
             F.when(weighed["value"] != 0, weighed).alias("weight"), _set(groups, "source").alias("source"), _set(groups, "supplier").alias("supplier"), F.when(F.size(own) > 1, own).alias("groups"),
         )
 
-    return F.when(F.size(groups) > 0, let(F.transform(groups, one), lambda own: made(groups, own)))
+    return F.when(F.size(groups) > 0, let(F.transform(groups, one), lambda own: let(_set(groups, "species"), lambda species: made(groups, own, species))))
 
 
 def _nested(block: Column, pairs: Column) -> Column:

@@ -26,8 +26,7 @@ def canonical(raw: Column, vocabulary: dict[str, tuple[str, ...]]) -> Column:
 
 
 def sex(raw: Column) -> Column:
-    known = strip(text(raw))
-    return F.when(known.isin("M", "F", "both", "unknown"), known).otherwise(canonical(raw, SEXES))
+    return let(text(raw), lambda x: F.when(x.isin(*SEXES), x).otherwise(F.coalesce(by_alias(x, SEXES), strip(x))))
 
 
 def source(raw: Column) -> Column:
@@ -53,8 +52,8 @@ def value_of(found: Column) -> Column:
 
 def unit(raw: Column, units: dict[str, tuple[str, ...]]) -> Column:
     """The canonical unit, lower-cased if it is one already; unknown ones stay as they are."""
-    known = strip(text(raw))
-    return F.coalesce(by_alias(known, units), F.when(F.lower(known).isin(*units), F.lower(known)), known)
+    slow = lambda known: F.coalesce(F.when(F.lower(known).isin(*units), F.lower(known)), known)
+    return let(text(raw), lambda x: F.coalesce(by_alias(x, units), F.when(x.isin(*units), x), let(strip(x), slow)))
 
 
 def enrichment(raw: Column) -> tuple[Column, Column]:

@@ -153,3 +153,22 @@ def test_bad_and_empty_pages(rows):
 def test_vocabularies(spark):
     one = lambda f, x: spark.createDataFrame([(x,)], "x string").select(f(F.col("x"))).first()[0]
     assert [one(forms.fate, x) for x in ("המתה", "rehoming", "sold", "", None)] == ["euthanasia", "rehoming", "other", "", ""]
+
+
+def test_aliases_are_looked_up_once(spark):
+    """Texts as they stand, or with blanks and capitals, give the same; a lookup has no branch for each alias, which would
+    work its text out anew."""
+    from quaestor.functions.text import age_days, by_alias
+    from quaestor.sources import form_parts
+
+    names = {"a": ("x", "y z"), "b": ("x", "w")}
+    rows = spark.createDataFrame([("x",), (" X ",), ("Y Z",), ("w\u00a0",), ("",), ("q",), (None,), (" M",), ("male",), (" זכר",), ("זכר",), ("Days",), ("days",), (" שבוע ",), (" q ",)], "t string")
+    got = rows.select("t", by_alias(F.col("t"), names), form_parts.sex(F.col("t")), form_parts.unit(F.col("t"), form_parts.AGE_UNITS), age_days(F.struct(F.lit(2.0).alias("value"), F.col("t").alias("unit"))))
+    assert [tuple(r) for r in got.collect()] == [
+        ("x", "a", "x", "x", None), (" X ", "a", "X", "X", None), ("Y Z", "a", "Y Z", "Y Z", None), ("w\u00a0", "b", "w", "w", None), ("", None, "unknown", "", None), ("q", None, "q", "q", None), (None, None, "unknown", "", None),
+        (" M", None, "M", "M", None), ("male", None, "male", "male", None), (" זכר", None, "M", "זכר", None), ("זכר", None, "M", "זכר", None), ("Days", None, "Days", "days", 2.0), ("days", None, "days", "days", 2.0), (" שבוע ", None, "שבוע", "weeks", None),
+        (" q ", None, "q", "q", None),
+    ]
+    for made in (by_alias(F.col("t"), names), form_parts.unit(F.col("t"), form_parts.AGE_UNITS), form_parts.sex(F.col("t"))):
+        plan = rows.select(made.alias("m"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("regexp_replace(") <= 3 and plan.count("lower(") <= 3
