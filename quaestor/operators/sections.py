@@ -33,7 +33,7 @@ def _lines(text: Column) -> Column:
 
 
 def _strip(value: Column) -> Column:
-    return F.regexp_replace(value, r"(?U)^\s++|(?<!\s)\s++$", "")
+    return F.regexp_replace(value, r"(?U)^\s++|(?=\s)(?<!\s)\s++$", "")  # most places fail at the look ahead
 
 
 def normalised_he(line: Column) -> Column:
@@ -150,7 +150,7 @@ def statute(text: Column) -> Column:
 
 def paragraphs(body: Column) -> Column:
     """Lines of a body as paragraphs: those between blank lines, joined by blanks."""
-    joined = F.array_join(F.transform(body, lambda x: F.when(_strip(x) == "", F.lit("\n\n")).otherwise(_strip(x))), " ")
+    joined = F.array_join(F.transform(body, lambda x: let(_strip(x), lambda y: F.when(y == "", F.lit("\n\n")).otherwise(y))), " ")
     return F.filter(F.transform(F.split(joined, r"\n\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
@@ -159,12 +159,17 @@ def guidance(docs: DataFrame, key: str, text: str, lang: str, most: int = WINDOW
     or more, `en` by marks and `he` by shape. An id is the heading's slug (of the whole path for a `general` one), or the
     digest's start where slugs say nothing, with the window's number if there are several, and with an ordinal from its second
     use on, in the order of key and place."""
-    cut = docs.select(key, F.posexplode((marked if lang == "en" else shaped)(F.col(text))).alias("section_no", "s")).select(key, "section_no", "s.path", "s.heading", paragraphs(F.col("s.body")).alias("paragraphs"))
-    cut = cut.where(F.length(F.array_join("paragraphs", "\n")) >= LEAST_BODY).select(key, "section_no", "path", "heading", pack_windows(F.col("paragraphs"), most).alias("windows"))
-    rows = cut.select(key, "section_no", "path", "heading", F.size("windows").alias("_n"), F.posexplode("windows").alias("_k", "text"))
+
+    def pieces(s: Column, no: Column) -> Column:
+        numbered = lambda ws: F.transform(ws, lambda w, k: F.struct(no.alias("section_no"), s["path"].alias("path"), s["heading"].alias("heading"), F.size(ws).alias("_n"), k.alias("_k"), w.alias("text")))
+        return let(paragraphs(s["body"]), lambda ps: F.when(F.length(F.array_join(ps, "\n")) >= LEAST_BODY, let(pack_windows(ps, most), numbered)))
+
+    # Within one generator: a filter or a second generator over its columns would have them worked out anew.
+    cut = F.transform((marked if lang == "en" else shaped)(F.col(text)), pieces)
+    rows = docs.select(key, F.inline(F.flatten(F.filter(cut, lambda x: x.isNotNull())))).withColumn("sha", F.sha2("text", 256))
     whole = (F.size("path") > 1) & (F.lower("heading") == "general")
     base = F.when(whole, slug(F.array_join("path", " "))).otherwise(slug(F.col("heading"))) if lang == "en" else F.substring(F.sha1("text"), 1, 8)
     rows = rows.withColumns({"_base": F.concat(F.lit(f"il-guidance-{lang}-"), base), "_window": F.when(F.col("_n") > 1, F.concat(F.lit("-"), (F.col("_k") + 1).cast("string"))).otherwise("")})
     rows = rows.withColumn("_use", F.row_number().over(Window.partitionBy("_base", "_window").orderBy(key, "section_no", "_k")))
     made = F.concat("_base", F.when(F.col("_use") > 1, F.concat(F.lit("-"), F.col("_use").cast("string"))).otherwise(""), "_window")
-    return rows.select(key, "section_no", (F.col("_k") + 1).alias("chunk_no"), made.alias("id"), F.array_join("path", " › ").alias("title"), F.col("path").alias("section_path"), "text", F.sha2("text", 256).alias("sha"))
+    return rows.select(key, "section_no", (F.col("_k") + 1).alias("chunk_no"), made.alias("id"), F.array_join("path", " › ").alias("title"), F.col("path").alias("section_path"), "text", "sha")
